@@ -4,10 +4,57 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from streetworth.llm._common import table
+from streetworth.llm.language import fold, identify, train
+from streetworth.llm.mixing import mix
 from streetworth.llm.ngram_join import ngram_jaccard
+from streetworth.llm.packing import pack
+from streetworth.llm.pii import BASE, find_pii, listed
+
+#: Weights of domains and languages (others and all sources: 1).
+MIX_WEIGHTS = {"domain": {"domain0": 4.0, "domain1": 2.0}, "lang": {"en": 2.0}}
+MIX_SHARE = 0.8
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def domain() -> Column:
+    """Four domains, from the last digit of a source's name."""
+    return F.concat(F.lit("domain"), (F.substring("source", -1, 1).try_cast("int") % 4).cast("string"))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = train(docs.where(fold("doc_id", 3) != 1))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_spans").alias("lang_spans"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["rank"] < len(BASE))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"), domain(), MIX_WEIGHTS, share=MIX_SHARE, max_epochs=2)
+    return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +62,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_language_id": op2_language_id,
+    "op3_pii": op3_pii,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
