@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from streetworth.llm._common import table
+from streetworth.llm import quality
+from streetworth.llm._common import save, table
 from streetworth.llm.language import fold, identify, train
+from streetworth.llm.license_scan import scan_licenses
 from streetworth.llm.mixing import mix
 from streetworth.llm.ngram_join import ngram_jaccard
 from streetworth.llm.packing import pack
 from streetworth.llm.pii import BASE, find_pii, listed
+from streetworth.llm.suffix_dedup import dedup_substrings
+from streetworth.llm.vectors import near_vectors, top_k
 
 #: Weights of domains and languages (others and all sources: 1).
 MIX_WEIGHTS = {"domain": {"domain0": 4.0, "domain1": 2.0}, "lang": {"en": 2.0}}
@@ -30,6 +34,14 @@ def domain() -> Column:
     return F.concat(F.lit("domain"), (F.substring("source", -1, 1).try_cast("int") % 4).cast("string"))
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = save(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    model = quality.train(measured.join(labels, "doc_id"))
+    scored = quality.score(measured, model)
+    return scored.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(fold("doc_id", 3) != 1))
@@ -48,6 +60,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -57,15 +73,32 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken")
 
 
+def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), length=400)
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
     "op3_pii": op3_pii,
+    "op4_near_vectors": op4_near_vectors,
     "op5_packing": op5_packing,
     "op6_mixing": op6_mixing,
+    "op7_top_k": op7_top_k,
+    "op8_license_scan": op8_license_scan,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
