@@ -1,11 +1,14 @@
 """N-gram Jaccard join: a blocked sparse product of documents by word shingles.
 
 Every text becomes the set of its distinct five-word shingles. Equal sets form one class, so that copies are never paired. Of each class only the
-first n - ceil(0.75 n) + 1 shingles in one global order (rare before frequent) enter the product: two sets that reach the threshold must share one
-of them. The product runs in blocks of shingles; a block gives groups of classes that share a shingle, equal groups once. Within a group, all
-are held against one hub first; after linking these, only pairs whose components still differ are held against each other. Each candidate pair
-passes the size bound 100 * min(n) >= 75 * max(n) and is then decided by exact overlap counts. Since a pair is left out only when its two classes are
-already known to be connected, components are exact.
+first n - ceil(0.75 n) + 1 shingles in one global order (rare before frequent) enter the product. The product runs in blocks of shingles; a block gives
+groups of classes that share a shingle, equal groups once with their number of shingles. Within a group, all are held against one hub first; after
+linking these, only pairs whose components still differ are multiplied out, and their shared shingles added up over the groups.
+
+Size-derived bounds: a pair of sizes n <= m can only reach the threshold if 100 n >= 75 m and the overlap is at least o = ceil(75 (n + m) / 175). Beyond
+the shorter of the two prefixes at most ceil(0.75 m) - 1 shingles can be shared, so that o - ceil(0.75 m) + 1 must be shared within the prefixes; pairs
+below are discarded. The rest is decided by exact overlap counts of whole sets. A pair is left out only when it can't reach the threshold or its two
+classes are already known to be connected, so components are exact.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ def _measure(k: int, bits: int):
     """Map side of the first pass: a row (id, set_id, n) for each text, and chunks of the partition's table of shingle loads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        loads = np.zeros(1 << bits, np.int64)
+        loads = np.zeros(1 << bits, np.int32)
         schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("loads", pa.binary())])
         for rows, hashes, sets in _sets(batches, k):
-            loads += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            np.add.at(loads, hashes >> np.uint64(64 - bits), 1)
             m = len(sets)
             yield pa.record_batch([rows.column(0), pa.array([T.digest64(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(loads, _CHUNKS)]
@@ -50,40 +53,45 @@ def _measure(k: int, bits: int):
 
 
 def _add_loads(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["loads"])
+    total = np.int64(0)
+    for x in pdf["loads"]:
+        total = total + np.frombuffer(zlib.decompress(x), np.int32)
     return pd.DataFrame({"chunk": [pdf["chunk"].iloc[0]], "loads": [zlib.compress(total.tobytes(), 1)]})
 
 
 def _load_classes(first: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of 2**bits hash ranges: how far its load is above the mean, in doublings (0 to 15), and into how many parts a shingle there is dealt.
+    """For each of 2**bits hash ranges: its load beyond what chance gives, in doublings (0 to 15), and into how many parts a shingle there is dealt.
 
     The table has 2**bits entries whatever the input; it only sets an order, so its coarseness costs time and never a link.
     """
     rows = first.where("chunk is not null").select("chunk", "loads").groupBy("chunk").applyInPandas(_add_loads, "chunk int, loads binary").collect()
     if not rows:
-        return np.zeros(1 << bits, np.uint8), np.ones(1 << bits, np.int32)
+        return np.zeros(1 << bits, np.uint8), np.ones(1 << bits, np.uint16)
     loads = np.concatenate([np.frombuffer(zlib.decompress(r["loads"]), np.int64) for r in sorted(rows, key=lambda r: r["chunk"])])
-    classes = np.clip(np.floor(np.log2((loads + 1) / (loads.mean() + 16))), 0, 15).astype(np.uint8)
-    return classes, (1 + loads // hot).astype(np.int32)
+    mean = loads.mean()
+    chance = 2 * np.sqrt(mean) + 2
+    classes = np.clip(np.floor(np.log2(np.maximum(loads - mean, 1) / chance)) + 1, 0, 15).astype(np.uint8)
+    return classes, np.minimum(1 + loads // hot, 65535).astype(np.uint16)
 
 
-def _incidences(k: int, percent: int, bits: int, classes: np.ndarray, parts: np.ndarray, blocks: int):
+def _incidences(k: int, percent: int, bits: int, shared, blocks: int):
     """Map side of the second pass: each class's prefix of shingles, dealt into blocks; a class once for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, parts = shared.value
         seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, ids, places = (np.concatenate(x) for x in zip(*held, strict=True))
             split = parts[(keys << np.uint64(4)) >> np.uint64(64 - bits)]
             dealt = (T.mix(keys) % np.uint64(blocks)).astype(np.int64) + blocks * (ids.view(np.uint64) % split.astype(np.uint64)).astype(np.int64)
             order = np.argsort(dealt, kind="stable")
-            keys, ids, dealt = keys[order], ids[order], dealt[order]
+            keys, ids, places, dealt = keys[order], ids[order], places[order], dealt[order]
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(dealt)) + 1, [len(dealt)]))
             pairs = list(zip(cuts[:-1], cuts[1:], strict=True))
-            return pa.record_batch({"block": pa.array(dealt[cuts[:-1]], pa.int64()), "keys": pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), "ids": pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary())})
+            return pa.record_batch({"block": pa.array(dealt[cuts[:-1]], pa.int64()), "keys": pa.array([keys[a:b].tobytes() for a, b in pairs], pa.binary()), "ids": pa.array([ids[a:b].tobytes() for a, b in pairs], pa.binary()), "places": pa.array([places[a:b].tobytes() for a, b in pairs], pa.binary())})
 
         for _, _, sets in _sets(batches, k):
             for s in sets:
@@ -92,7 +100,7 @@ def _incidences(k: int, percent: int, bits: int, classes: np.ndarray, parts: np.
                 seen.add(own)
                 keys = np.sort((s >> np.uint64(4)) | (classes[s >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(60)))
                 keys = keys[: len(s) + (-percent * len(s)) // 100 + 1]
-                held.append((keys, np.full(len(keys), own, np.int64)))
+                held.append((keys, np.full(len(keys), own, np.int64), np.minimum(np.arange(len(keys)), 65535).astype(np.uint16)))
                 size += len(keys)
             if size > 400_000:
                 yield flush()
@@ -103,23 +111,26 @@ def _incidences(k: int, percent: int, bits: int, classes: np.ndarray, parts: np.
     return run
 
 
-def _groups(bits: int, parts: np.ndarray):
-    """One block of the product: which classes meet in a shingle. Rows (gid, id); gid is the digest of the group, or the shingle where it is dealt in parts."""
+def _groups(bits: int, shared):
+    """One block of the product: which classes meet in a shingle. Rows (gid, id, w, place): the digest of the group, or the shingle where it is dealt in parts; w shingles, the first of them at this place in the class's order (or behind it)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, ids = np.frombuffer(b"".join(pdf["keys"]), np.uint64), np.frombuffer(b"".join(pdf["ids"]), np.int64)
+        parts = shared.value[1]
+        keys, ids, places = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("places", np.uint16)))
         order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
+        keys, ids, places = keys[order], ids[order], places[order]
         new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])))
-        keys, ids = keys[new], ids[new]
+        keys, ids, places = keys[new], ids[new], places[new]
         begins = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         sizes = np.diff(np.concatenate((begins, [len(keys)])))
         dealt = parts[(keys[begins] << np.uint64(4)) >> np.uint64(64 - bits)] > 1
         digest = np.where(dealt, keys[begins], T.mix(np.add.reduceat(T.mix(ids.view(np.uint64)), begins) + sizes.astype(np.uint64)))
         keep = np.flatnonzero(dealt | (sizes > 1))
-        keep = keep[np.unique(digest[keep], return_index=True)[1]]
-        at = np.repeat(begins[keep] - np.concatenate(([0], np.cumsum(sizes[keep])[:-1])), sizes[keep]) + np.arange(sizes[keep].sum()) if len(keep) else np.zeros(0, np.int64)
-        return pd.DataFrame({"gid": np.repeat(digest[keep], sizes[keep]).view(np.int64), "id": ids[at]})
+        if not len(keep):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("gid", "id", "w", "place")})
+        at = np.repeat(begins[keep] - np.concatenate(([0], np.cumsum(sizes[keep])[:-1])), sizes[keep]) + np.arange(sizes[keep].sum())
+        rows = pd.DataFrame({"gid": np.repeat(digest[keep], sizes[keep]).view(np.int64), "id": ids[at], "place": places[at].astype(np.int64)})
+        return rows.groupby(["gid", "id"], as_index=False).agg(w=("place", "size"), place=("place", "min"))[["gid", "id", "w", "place"]]
 
     return run
 
@@ -159,32 +170,48 @@ def _decide(percent: int):
     return run
 
 
-def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int = 20, hot: int = 2_000_000) -> DataFrame:
+def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int = 22, hot: int = 2_000_000) -> DataFrame:
     """One row (doc_id, n_shingles, component_id, set_id) for each row of docs(doc_id, text).
 
     Two texts link when their Jaccard similarity is at least percent / 100. Null and empty texts have no shingles and their own doc_id as component;
     equal rows and equal doc_ids stay separate rows. Other columns are not read. A shingle whose range of hashes has over `hot` occurrences is dealt
-    over several tasks. An empty table gives no rows.
+    over several tasks. load_bits sets the size of the broadcast order, 3 bytes for each of 2**load_bits ranges; raise it with the corpus, to 26 for
+    hundreds of billions of words. An empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     blocks = input_blocks(docs)
     first = save(docs.mapInArrow(_measure(k, load_bits), "doc_id long, set_id long, n long, chunk int, loads binary"), "sets")
-    classes, parts = _load_classes(first, load_bits, hot)
+    shared = spark.sparkContext.broadcast(_load_classes(first, load_bits, hot))
     texts = first.where("chunk is null").select("doc_id", "set_id", "n")
     reps = save(texts.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).withColumnRenamed("set_id", "id"), "classes")
 
-    dealt = docs.mapInArrow(_incidences(k, percent, load_bits, classes, parts, blocks), "block long, keys binary, ids binary")
-    groups = save(dealt.groupBy("block").applyInPandas(_groups(load_bits, parts), "gid long, id long").distinct(), "groups")
-
-    # all against the hub of their group
-    sized = groups.join(reps.select("id", "n"), "id")
-    hubs = sized.groupBy("gid").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1")
-    fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    stars = sized.join(hubs, "gid").select("id", "n", F.col("hub.id").alias("b"), F.col("hub.n").alias("m")).where("id <> b").where(fits)
-    stars = save(stars.select(F.col("id").alias("a"), "b").distinct(), "stars")
-    met = groups.select("id").distinct()
-    packed = save(docs.join(reps.join(met, "id").select("doc_id", "id"), "doc_id").select("id", "text").mapInArrow(_packed(k), "id long, packed binary"), "packed")
+    dealt = docs.mapInArrow(_incidences(k, percent, load_bits, shared, blocks), "block long, keys binary, ids binary, places binary")
+    groups = dealt.groupBy("block").applyInPandas(_groups(load_bits, shared), "gid long, id long, w long, place long")
+    groups = save(groups.groupBy("gid", "id").agg(F.sum("w").alias("w"), F.min("place").alias("place")), "groups")
+
+    members = groups.groupBy("gid").agg(F.count("*").alias("members")).where("members > 1")
+    met = groups.join(members, "gid").groupBy("id").agg(F.sum(F.col("w") * F.col("members")).alias("met"), F.array_sort(F.collect_list(F.struct("gid", "w"))).alias("groups"))
+    met = save(met.join(reps.select("id", "n"), "id").withColumn("centre", F.col("met") / F.col("n")), "met")
+    sized = groups.join(met.select("id", "n", "centre"), "id")
+    sides = [met.select(F.col("id").alias(i), F.col("n").alias(n), F.col("groups").alias(f"groups_{i}")) for i, n in (("a", "n"), ("b", "m"))]
+    overlap = f"ceil({percent} * (n + m) / {100 + percent})"
+    # a pair's first shared shingle leaves room for the overlap on both sides
+    fits = F.expr(f"id <> b and 100 * least(n, m) >= {percent} * greatest(n, m) and place <= n - {overlap} and place_b <= m - {overlap}")
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that share enough shingles within their prefixes."""
+        pairs = pairs.join(sides[0], "a").join(sides[1], "b")
+        shared = F.aggregate(F.map_values(F.map_zip_with(F.map_from_entries("groups_a"), F.map_from_entries("groups_b"), lambda g, x, y: F.when(x.isNotNull() & y.isNotNull(), x).otherwise(0))), F.lit(0).cast("long"), lambda x, y: x + y)
+        return pairs.where(shared >= F.expr(f"{overlap} - ceil({percent} * greatest(n, m) / 100) + 1")).select("a", "b")
+
+    # all against the most central and the smallest of their group: near copies of one text mostly link with that text itself
+    hub = F.struct("id", "n", "place")
+    hubs = sized.groupBy("gid").agg(F.min(hub).alias("low"), F.max_by(hub, F.struct("centre", "id")).alias("high"))
+    hubs = hubs.select("gid", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).select("gid", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.place").alias("place_b"))
+    stars = sized.join(hubs, "gid").where(fits).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+    stars = save(bounded(stars), "stars")
+    packed = save(docs.join(reps.join(met.select("id"), "id").select("doc_id", "id"), "doc_id").select("id", "text").mapInArrow(_packed(k), "id long, packed binary"), "packed")
 
     def decide(pairs: DataFrame, name: str) -> DataFrame:
         left = packed.select(F.col("id").alias("a"), F.col("packed").alias("x"))
@@ -195,13 +222,12 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int
     found = save(components(links), "found")
 
     # pairs that are not known to be connected
-    labelled = sized.join(found, "id", "left").select("gid", "id", "n", F.coalesce("component", "id").alias("label"))
+    labelled = sized.join(found, "id", "left").select("gid", "id", "n", "place", F.coalesce("component", "id").alias("label"))
     open_ids = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
     rest = save(labelled.join(open_ids, "gid"), "open")
-    other = rest.select("gid", F.col("id").alias("b"), F.col("n").alias("m"), F.col("label").alias("label_b"))
+    other = rest.select("gid", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
     pairs = rest.join(other, "gid").where("id < b and label <> label_b").where(fits).select(F.col("id").alias("a"), "b").distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = decide(save(pairs.join(tried, ["a", "b"], "left_anti"), "pairs"), "links")
+    more = decide(save(bounded(pairs.join(stars, ["a", "b"], "left_anti")), "pairs"), "links")
     found = components(links.unionByName(more))
 
     ids = reps.join(found, "id", "left").withColumn("root", F.coalesce("component", "id"))
