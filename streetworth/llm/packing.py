@@ -9,7 +9,9 @@ rank r..s of a length go. Ranks are dealt out over the cluster, so that no task
 from __future__ import annotations
 
 import re
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,59 +20,126 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from streetworth.llm import _text as T
 from streetworth.llm._common import input_blocks, save
 
-_PLAIN = re.compile("[\x00-\x1b\x20-ɏ]*").fullmatch
-_MOST_WORDS = 400_000
-_coders: dict[str, tuple] = {}
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)  # ASCII marks, but for the apostrophe, which takes part in contractions
+_MARK[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = True
+_coders: dict[str, Coder] = {}
 
 
-def _coder(path: str):
-    if path not in _coders:
-        from tokenizers import Tokenizer
-
-        _coders[path] = (Tokenizer.from_file(path), {})
-    return _coders[path]
+class Coder:
+    """Token ids of words, kept in a hash table of numpy arrays: keys are 64-bit hashes of words in lower case, values are slices of one array of ids.
 
+    This vocabulary's tokens never cross white space, do not depend on case, and keep a letter and a run of marks behind it apart. So the ids of a text are
+    those of its words one after the other, a word's trailing marks being a word of their own. Where that is not certain (signs beyond U+027F, other white
+    space, a dotted capital I, what may be a special token), a text goes through the tokenizer whole. When the table is half full, it starts again.
+    """
 
-def encode(texts: list[str], path: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit numbers.
+    def __init__(self, path: str, bits: int = 22):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
 
-    This vocabulary's tokens never cross white space, so that the ids of a text are those of its white-space words one after the other, and words can
-    be kept. Texts with signs beyond U+024F, with control signs that count as white space only here, or with what may be a special token go
-    through the tokenizer whole.
-    """
-    tokenizer, known = _coder(path)
-    out = []
-    for text in texts:
-        if not _PLAIN(text) or "<|" in text:
-            out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-            continue
-        words = text.split()
-        try:
-            out.append(b"".join(map(known.__getitem__, words)))
-        except KeyError:
-            if len(known) > _MOST_WORDS:
-                known.clear()
-            new = [w for w in set(words) if w not in known]
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-            out.append(b"".join(map(known.__getitem__, words)))
-    return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.mask = np.uint64((1 << bits) - 1)
+        self.clear()
+
+    def clear(self) -> None:
+        size = int(self.mask) + 1
+        self.keys, self.begin, self.count = np.zeros(size, np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int32)
+        self.ids, self.used, self.words = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slots of the hashes, -1 where a hash is not kept."""
+        slots = np.full(len(hashes), -1, np.int64)
+        todo, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(todo):
+            keys = self.keys[at]
+            hit = keys == hashes[todo]
+            slots[todo[hit]] = at[hit]
+            more = ~hit & (keys != 0)
+            todo, at = todo[more], (at[more] + 1) & int(self.mask)
+        return slots
+
+    def learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        flat, counts = array("I"), []
+        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
+            flat.extend(e.ids)
+            counts.append(len(e.ids))
+        new = np.array(flat, np.uint32)
+        while self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(len(self.ids), np.uint32)))
+        self.ids[self.used : self.used + len(new)] = new
+        count = np.array(counts, np.int64)
+        begin = self.used + np.cumsum(count) - count
+        self.used, self.words = self.used + len(new), self.words + len(words)
+        todo, at = np.arange(len(hashes)), (hashes & self.mask).astype(np.int64)
+        while len(todo):
+            free = self.keys[at] == 0
+            slot, first = np.unique(at[free], return_index=True)
+            won = np.flatnonzero(free)[first]
+            self.keys[slot], self.begin[slot], self.count[slot] = hashes[todo[won]], begin[todo[won]], count[todo[won]]
+            left = np.ones(len(todo), bool)
+            left[won] = False
+            todo, at = todo[left], (at[left] + 1) & int(self.mask)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        if self.words > int(self.mask) // 2:
+            self.clear()
+        before = np.concatenate(([0], data[:-1])).astype(np.uint8)
+        odd = (data >= 0xCA) | ((before == 0xC2) & ((data == 0x85) | (data == 0xA0))) | ((before == 0xC4) & (data == 0xB0)) | ((before == 60) & (data == 124))
+        strange = np.diff(np.concatenate(([0], np.cumsum(odd)))[offsets]) > 0
+        low = np.where((before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), data + np.uint8(32), T.LOWER[data])
+        starts, ends, _ = T.words(data, offsets)
+        cut = ends.copy()
+        for _ in range(8):
+            cut -= (cut - 1 > starts) & _MARK[data[cut - 1]]
+        apart = (cut < ends) & _LETTER[data[cut - 1]]
+        begins = np.sort(np.concatenate((starts, cut[apart])), kind="stable")
+        finish = np.sort(np.concatenate((np.where(apart, cut, ends), ends[apart])), kind="stable")
+        firsts = np.searchsorted(begins, offsets)
+        hashes = T.hash_ranges(low, begins, finish) | np.uint64(1)
+        text = np.repeat(np.arange(len(strange)), np.diff(firsts))
+        hashes[strange[text]] = 0
+        slots = self.find(hashes)
+        missing = np.flatnonzero((slots < 0) & (hashes != 0))
+        raw = data.tobytes()
+        if len(missing):
+            new, at = np.unique(hashes[missing], return_index=True)
+            at = missing[at]
+            self.learn(new, [raw[a:b].decode() for a, b in zip(begins[at].tolist(), finish[at].tolist(), strict=True)])
+            slots[missing] = self.find(hashes[missing])
+        slots[hashes == 0] = 0
+        count = np.where(hashes == 0, 0, self.count[slots]).astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = self.ids[np.repeat(self.begin[slots] - total[:-1], count) + np.arange(total[-1])].astype("<u4").tobytes()
+        cuts = (4 * total[firsts]).tolist()
+        out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in np.flatnonzero(strange):
+            out[i] = np.array(self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        return out
+
+
+def coder(path: str) -> Coder:
+    """This worker's coder of a vocabulary."""
+    if path not in _coders:
+        _coders[path] = Coder(path)
+    return _coders[path]
 
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = int(end_id).to_bytes(4, "little")
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), encode([t or "" for t in part.column(1).to_pylist()], path), strict=True):
-                    ids += mark
-                    for j, i in enumerate(range(0, len(ids), 4 * capacity)):
-                        rows.append((doc, j, i // 4, len(ids[i : i + 4 * capacity]) // 4, zlib.crc32(ids[i : i + 4 * capacity])))
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch, data, offsets in T.slices(batches):
+            rows = []
+            for doc, ids in zip(batch.column(0).to_pylist(), coder(path).encode(data, offsets), strict=True):
+                ids += mark
+                for j, i in enumerate(range(0, len(ids), 4 * capacity)):
+                    rows.append((doc, j, i // 4, len(ids[i : i + 4 * capacity]) // 4, zlib.crc32(ids[i : i + 4 * capacity])))
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return run
 
