@@ -263,34 +263,33 @@ def _searched(shared, k: int, rows: int = 2048):
 
 def _update(query: tuple, xids: np.ndarray, x: np.ndarray, k: int, d: int) -> None:
     ids, q, bounds, scores, best_ids, used = query
-    slack = 1 + 1e-9 * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * d
-    least = np.where(used.all(1), scores[:, -1], np.iinfo(np.int64).min).astype(float)
-    alive = None
-    for qb, segments in zip(bounds, _levels(d), strict=True):
+    reach = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * d
+    slack = 1 + 1e-9 * reach
+    lowest = np.iinfo(np.int64).min
+    least = np.where(used.all(1), scores[:, -1], lowest).astype(float)
+    alive = ids[:, None] != xids[None, :]
+    for level, (qb, segments) in enumerate(zip(bounds, _levels(d), strict=True)):
         xb = segment_bounds(x, segments)
-        if alive is None:
-            upper = qb @ xb.T
-            if not used.all():  # a first threshold: the exact scores of the k best bounds
-                top = np.argsort(-upper, axis=1)[:, : k + 1]
-                for i in np.flatnonzero(~used.all(1)):
-                    own = top[i][xids[top[i]] != ids[i]][:k]
-                    if len(own) == k:
-                        least[i] = _exact(np.repeat(q[i : i + 1], k, 0), x[own]).min()
-            i, j = np.nonzero(upper + slack >= least[:, None])
-            own = ids[i] != xids[j]
-            alive = (i[own], j[own])
-        else:
-            i, j = alive
-            keep = np.zeros(len(i), bool)
+        if level and alive.mean() < 0.05:
+            i, j = np.nonzero(alive)
             for a in range(0, len(i), 200_000):
-                b = slice(a, a + 200_000)
-                keep[b] = np.einsum("ij,ij->i", qb[i[b]], xb[j[b]]) + slack >= least[i[b]]
-            alive = (i[keep], j[keep])
-    if alive is None:
-        i, j = np.nonzero(ids[:, None] != xids[None, :])
+                p, r = i[a : a + 200_000], j[a : a + 200_000]
+                alive[p, r] = np.einsum("ij,ij->i", qb[p], xb[r]) + slack >= least[p]
+            continue
+        upper = qb @ xb.T
+        if not level and not used.all():  # a first threshold: the exact scores of the k best bounds
+            top = np.argsort(-np.where(alive, upper, -np.inf), axis=1)[:, :k]
+            for i in np.flatnonzero(~used.all(1)):
+                if alive[i, top[i]].sum() == k:
+                    least[i] = _exact(np.repeat(q[i : i + 1], k, 0), x[top[i]]).min()
+        alive &= upper + slack >= least[:, None]
+    if alive.mean() > 0.02 and reach < 2**53:  # many survivors: one product of whole numbers below 2**53 is exact and cheaper than picking them out
+        whole = q @ x.T
+        i, j = np.nonzero(alive & (whole >= least[:, None]))
+        exact = whole[i, j].astype(np.int64)
     else:
-        i, j = alive
-    exact = np.concatenate([_exact(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
+        i, j = np.nonzero(alive)
+        exact = np.concatenate([_exact(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
     old_i, old_j = np.nonzero(used)
     i, got, s = np.concatenate((i, old_i)), np.concatenate((xids[j], best_ids[old_i, old_j])), np.concatenate((exact, scores[old_i, old_j]))
     order = np.lexsort((got, -s, i))
