@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -20,8 +22,16 @@ LOWER[65:91] += 32
 _powers: dict[int, np.ndarray] = {}
 
 
+def release() -> None:
+    """Give free memory back to the system: a worker that waits for its next task should not hold the last one's arrays."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut Arrow batches so that the texts of a slice have about `limit` bytes (one longer text stands alone): the rows, their UTF-8 bytes and offsets. Null: empty."""
+    release()
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -33,6 +43,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(ends, ends[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), raw[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
             at = to
+        del batch, text, raw, ends
+    release()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

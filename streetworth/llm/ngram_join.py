@@ -115,6 +115,7 @@ def _groups(bits: int, shared):
     """One block of the product: which classes meet in a shingle. Rows (gid, id, w, place): the digest of the group, or the shingle where it is dealt in parts; w shingles, the first of them at this place in the class's order (or behind it)."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        T.release()
         parts = shared.value[1]
         keys, ids, places = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("places", np.uint16)))
         order = np.lexsort((ids, keys))
@@ -157,7 +158,8 @@ def _decide(percent: int):
     """Pairs with both sets: those that reach the threshold, with the overlap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        T.release()
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             out = []
             for i in range(len(a)):
@@ -166,6 +168,7 @@ def _decide(percent: int):
                 if 100 * shared >= percent * (len(both) - shared):
                     out.append((a[i], b[i], shared))
             yield pa.record_batch({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64()), "shared": pa.array([o[2] for o in out], pa.int64())})
+        T.release()
 
     return run
 
