@@ -36,6 +36,24 @@ def input_blocks(df: DataFrame) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
 
 
+def maybe_in(df: DataFrame, keys: DataFrame, key: str, bits: int = 23) -> DataFrame:
+    """df with _maybe: false only where df's key is surely not among the keys. A bit map of 2**bits hashes, at most 2**(bits - 6) rows whatever the keys, so
+    that its broadcast is bounded; where it fills up, everything is maybe. It spares wide rows a shuffle in the exact join that follows."""
+    place = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    words = keys.select(place.alias("_p")).distinct().groupBy(F.shiftright("_p", 6).alias("_word"))
+    words = words.agg(F.bit_or(F.expr("shiftleft(1L, cast(_p % 64 as int))")).alias("_bits"))
+    df = df.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6))
+    hit = F.expr("coalesce(_bits & shiftleft(1L, cast(_p % 64 as int)), 0L) <> 0")
+    return df.join(F.broadcast(words), "_word", "left").withColumn("_maybe", hit).drop("_p", "_word", "_bits")
+
+
+def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df without the rows whose key is among the keys; only rows that may be hit are shuffled. A null key stays."""
+    marked = maybe_in(df, keys, key)
+    hit = marked.where("_maybe").drop("_maybe").join(keys.select(key).distinct(), key, "left_anti")
+    return marked.where("not _maybe").drop("_maybe").unionByName(hit)
+
+
 def _min_neighbour(edges: DataFrame) -> DataFrame:
     """Edges (u, v) with m, the smallest of u and its v. The minimum is combined before the shuffle, and the join can be split where a u is hot."""
     least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

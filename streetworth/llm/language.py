@@ -77,9 +77,9 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     counts = docs.select("text", "lang").where("lang is not null").mapInArrow(_count, "lang string, counts binary")
     found = sorted(counts.groupBy("lang").applyInPandas(_add, "lang string, counts binary").collect())
     langs = [r["lang"] for r in found]
-    tables = np.array([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in found]).reshape(len(langs), -1).T
     if not langs:
         return [], np.zeros((1 << BITS, 0), np.float32), np.ones((SCRIPTS, 0), bool)
+    tables = np.array([np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in found]).T
     grams, scripts = tables[: 1 << BITS] + 0.5, tables[1 << BITS :]
     allowed = scripts >= 0.01 * scripts.sum(0, keepdims=True)
     allowed[~allowed.any(1)] = True

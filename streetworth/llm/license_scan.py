@@ -137,9 +137,10 @@ def _scan(shared, band: int, coverage: float, least: int):
             low, high = np.searchsorted(index.keys, shingles[at]), np.searchsorted(index.keys, shingles[at], "right")
             text = np.searchsorted(begins, at, "right") - 1
             hits = sorted((int(d), int(index.template[p]), int(x - begins[d]) - int(index.place[p]), int(x - begins[d])) for x, d, a, b in zip(at, text, low, high, strict=True) for p in range(a, b))
+            bands = [min(band, (len(w) - 1) // 2) for w in index.words]  # two copies of a short template stay apart
             groups: list[list[tuple]] = []
             for h in hits:
-                if groups and groups[-1][-1][:2] == h[:2] and h[2] - groups[-1][-1][2] <= band:
+                if groups and groups[-1][-1][:2] == h[:2] and h[2] - groups[-1][-1][2] <= bands[h[1]]:
                     groups[-1].append(h)
                 else:
                     groups.append([h])
@@ -147,9 +148,9 @@ def _scan(shared, band: int, coverage: float, least: int):
             for g in groups:
                 doc, t = g[0][:2]
                 template = index.words[t]
-                base = firsts[doc]
-                begin, end = max(0, g[0][2] - band), min(int(firsts[doc + 1] - base), g[-1][2] + len(template) + band)
-                equal, a, b = align(template, hashes[base + begin : base + end].tolist(), g[0][2] - band - begin, g[-1][2] + band - begin)
+                base, own = firsts[doc], bands[t]
+                begin, end = max(0, g[0][2] - own), min(int(firsts[doc + 1] - base), g[-1][2] + len(template) + own)
+                equal, a, b = align(template, hashes[base + begin : base + end].tolist(), g[0][2] - own - begin, g[-1][2] + own - begin)
                 if equal >= max(coverage * len(template), min(least, len(template))):
                     part = data[offsets[doc] : ends[base + begin + b - 1]]
                     chars = np.concatenate(([0], np.cumsum((part & 0xC0) != 0x80)))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streetworth.llm import _text as T
-from streetworth.llm._common import components, input_blocks, save
+from streetworth.llm._common import components, input_blocks, maybe_in, save
 
 _CHUNKS = 16
 
@@ -214,9 +214,13 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int
     hubs = hubs.select("gid", F.explode(F.array_distinct(F.array("low", "high"))).alias("hub")).select("gid", F.col("hub.id").alias("b"), F.col("hub.n").alias("m"), F.col("hub.place").alias("place_b"))
     stars = sized.join(hubs, "gid").where(fits).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     stars = save(bounded(stars), "stars")
-    packed = save(docs.join(reps.join(met.select("id"), "id").select("doc_id", "id"), "doc_id").select("id", "text").mapInArrow(_packed(k), "id long, packed binary"), "packed")
 
     def decide(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose whole sets reach the threshold. Only texts of these pairs are shuffled."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = save(reps.join(ends, "id").select("doc_id", "id"), "wanted")
+        near = maybe_in(docs, wanted, "doc_id").where("_maybe").drop("_maybe")
+        packed = save(near.join(wanted, "doc_id").select("id", "text").mapInArrow(_packed(k), "id long, packed binary"), "packed")
         left = packed.select(F.col("id").alias("a"), F.col("packed").alias("x"))
         right = packed.select(F.col("id").alias("b"), F.col("packed").alias("y"))
         return save(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long, shared long").distinct(), name)

@@ -38,7 +38,7 @@ class Coder:
     space, a dotted capital I, what may be a special token), a text goes through the tokenizer whole. When the table is half full, it starts again.
     """
 
-    def __init__(self, path: str, bits: int = 22):
+    def __init__(self, path: str, bits: int = 21):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
