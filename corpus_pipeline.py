@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetworth.llm import queries as Q
-from streetworth.llm._common import save, table
+from streetworth.llm._common import save, table, without
 from streetworth.llm.language import fold, identify, train
 from streetworth.llm.mixing import mix
 from streetworth.llm.ngram_join import ngram_jaccard
@@ -26,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates, the document of the smallest doc_id stays; those without words all stay."""
-    kept = ngram_jaccard(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    gone = save(ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id"), "gone")
+    return without(docs, gone, "doc_id").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
