@@ -72,3 +72,45 @@ def censored_interval(count: Column, strategy: str = "midpoint", suppressed: int
 
 def walk_credit(distance_m: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least((250 - distance_m) / 200, F.lit(1.0)))
+
+
+def distance_decay(distance_km: Column) -> Column:
+    """1 up to 12 km, then exponential over 5 km."""
+    return F.when(distance_km <= 12, 1.0).otherwise(F.exp(-(distance_km - 12) / 5))
+
+
+def inverse_uniform(u: Column, low: float, high: float) -> Column:
+    return low + u * (high - low)
+
+
+def inverse_loguniform(u: Column, low: float, high: float) -> Column:
+    return F.exp(F.log(F.lit(low)) + u * (F.log(F.lit(high)) - F.log(F.lit(low))))
+
+
+def inverse_triangular(u: Column, low: float, mode: float, high: float) -> Column:
+    left = low + F.sqrt(u * (high - low) * (mode - low))
+    return F.when(u < (mode - low) / (high - low), left).otherwise(high - F.sqrt((1 - u) * (high - low) * (high - mode)))
+
+
+def bearing_difference(a: Column, b: Column) -> Column:
+    """Degrees between two undirected bearings, 0 to 90."""
+    apart = F.abs(F.pmod(a - b + 180, F.lit(360)) - 180)
+    return F.least(apart, 180 - apart)
+
+
+def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
+    """Metres along the great circle on a sphere of 6371008.8 m."""
+    h = F.sin(F.radians(lat2 - lat1) / 2) ** 2 + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.sin(F.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371008.8 * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+
+
+def speed_kph(tag: Column) -> Column:
+    """Number of a speed tag: the first of several values, miles turned into kilometres; null where there is none."""
+    first = F.trim(F.element_at(F.split(tag, ";"), 1))
+    value = F.try_to_number(F.nullif(F.regexp_extract(first, r"^([0-9]+)", 1), F.lit("")), F.lit("99999")).cast("double")
+    return F.when(F.lower(first).contains("mph"), value * 1.609344).otherwise(value)
+
+
+def csv_guard(text: Column) -> Column:
+    """A leading apostrophe before text that a spreadsheet would take for a formula."""
+    return F.when(text.rlike("^[=+@\\t\\r-]"), F.concat(F.lit("'"), text)).otherwise(text)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,21 +10,7 @@ from streetworth.operators import graph as G
 from streetworth.operators import relational as R
 from streetworth.plans import fixtures as X
 from streetworth.plans.fixtures import table, with_
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its name, with its SQL."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
+from streetworth.registry import QUERIES, SQL, query  # noqa: F401
 
 
 _PROBABILITY = "probs AS (SELECT od, path, cost, exp(-0.05e0 * cost - m) / sum(exp(-0.05e0 * cost - m)) OVER (PARTITION BY od) AS probability FROM (SELECT *, max(-0.05e0 * cost) OVER (PARTITION BY od) AS m FROM paths))"

@@ -4,7 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from streetworth.queries import QUERIES, SQL
+from streetworth.catalog import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
