@@ -3,5 +3,5 @@
 from __future__ import annotations
 
 from streetworth import queries  # noqa: F401
-from streetworth.plans import selection  # noqa: F401
+from streetworth.plans import network, selection  # noqa: F401
 from streetworth.registry import QUERIES, SQL  # noqa: F401
