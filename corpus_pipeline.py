@@ -21,7 +21,7 @@ from streetworth.llm.pii import find_pii, redact
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those of which no language has half of the letters, go."""
     model = train(docs.where(fold("doc_id", 3) != 1))
-    return identify(docs, model).where("lang_pred <> 'und' and lang_score >= 0.5").select(docs.columns)
+    return identify(docs, model).where("lang_pred <> 'und' and lang_share >= 0.5").select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

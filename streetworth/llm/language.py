@@ -121,7 +121,7 @@ def _label(shared, penalty: float, unknown: str):
         names = np.array([*langs, unknown], object)
         for rows, data, offsets in T.slices(batches, limit=(6 << 20) // max(k, 3)):
             d = rows.num_rows
-            pred, score, spans = np.full(d, k), np.zeros(d), [""] * d
+            pred, score, share, spans = np.full(d, k), np.zeros(d), np.zeros(d), [""] * d
             at, code, starts, ends = _codes(data, offsets)
             if k and len(starts):
                 firsts = np.searchsorted(starts, offsets)
@@ -130,15 +130,16 @@ def _label(shared, penalty: float, unknown: str):
                 scores[~allowed[_SCRIPT[data[starts]]]] -= 1e3
                 labels = viterbi(scores, firsts, penalty)
                 text = np.repeat(np.arange(d), np.diff(firsts))
-                size = (ends - starts).astype(float)
+                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                size = (chars[ends] - chars[starts]).astype(float)
                 on = np.bincount(text * k + labels, size, d * k).reshape(d, k)
                 total = np.array([np.bincount(text, scores[:, j], d) for j in range(k)]).T
                 chance = np.exp(total - total.max(1, keepdims=True))
                 top = on.argmax(1)
                 has = on.sum(1) > 0
                 pred[has] = top[has]
-                score[has] = (on.max(1) / np.maximum(on.sum(1), 1) * (0.5 + 0.5 * chance[np.arange(d), top] / chance.sum(1)))[has]
-                chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+                share[has] = (on.max(1) / np.maximum(on.sum(1), 1))[has]
+                score[has] = (share * (0.5 + 0.5 * chance[np.arange(d), top] / chance.sum(1)))[has]
                 new = np.flatnonzero(np.concatenate(([True], (labels[1:] != labels[:-1]) | (text[1:] != text[:-1]))))
                 last = np.concatenate((new[1:], [len(labels)])) - 1
                 for a, b in zip(new, last, strict=True):
@@ -148,22 +149,23 @@ def _label(shared, penalty: float, unknown: str):
             for i in np.flatnonzero(pred < k):  # bytes beyond ASCII need not be letters
                 part = data[offsets[i] : offsets[i + 1]]
                 if not (_LETTER[part] & (part < 128)).any() and not any(c.isalpha() for c in raw[offsets[i] : offsets[i + 1]].decode()):
-                    pred[i], score[i], spans[i] = k, 0.0, ""
+                    pred[i], score[i], share[i], spans[i] = k, 0.0, 0.0, ""
             kept = [rows.column(i) for i in range(rows.num_columns)]
-            yield pa.record_batch([*kept, pa.array(names[pred], pa.string()), pa.array(score, pa.float64()), pa.array(spans, pa.string())], names=[*rows.schema.names, "lang_pred", "lang_score", "lang_spans"])
+            yield pa.record_batch([*kept, pa.array(names[pred], pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64()), pa.array(spans, pa.string())], names=[*rows.schema.names, "lang_pred", "lang_score", "lang_share", "lang_spans"])
 
     return run
 
 
 def identify(docs: DataFrame, model, penalty: float = 8.0, unknown: str = "und") -> DataFrame:
-    """docs with lang_pred, lang_score (0 to 1: the share of letters in that language, halved where the whole text speaks for another) and lang_spans ("lang:start:end", code points).
+    """docs with lang_pred, lang_share (0 to 1: the share of letters in that language, in code points), lang_score (that share, halved where the whole text speaks
+    for another) and lang_spans ("lang:start:end", code points).
 
-    A null text or one without letters: `unknown`, 0 and no span. Other columns stay, but for those three names. Nothing is shuffled; memory follows the
+    A null text or one without letters: `unknown`, 0, 0 and no span. Other columns stay, but for those four names. Nothing is shuffled; memory follows the
     longest text.
     """
-    docs = docs.drop("lang_pred", "lang_score", "lang_spans")
+    docs = docs.drop("lang_pred", "lang_score", "lang_share", "lang_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_spans", "string")
+    schema = StructType([*docs.schema.fields]).add("lang_pred", "string").add("lang_score", "double").add("lang_share", "double").add("lang_spans", "string")
     return docs.mapInArrow(_label(shared, penalty, unknown), schema)
 
 

@@ -1,6 +1,7 @@
 """The pipeline's stages take effect and keep clean documents."""
 
 import corpus_pipeline as P
+from streetworth.llm.language import identify, train
 
 
 def test_stages(spark, tmp_path):
@@ -29,3 +30,22 @@ def test_near_duplicates_keeps_one_of_each_group(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (4, ""), (5, "other words that stand alone here")]
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in P.near_duplicates(spark, docs, "").collect()) == [1, 3, 4, 5]
+
+
+def test_language_keeps_texts_with_half_of_their_letters_in_one_language(spark):
+    english, german, russian = "the house and a garden with it ", "der Garten und das Haus mit ihm ", "предложение существование "
+    rows = [(i, t * 20, lang) for lang, t in (("en", english), ("de", german), ("ru", russian)) for i in range(100 * len(lang + t), 100 * len(lang + t) + 20)]
+    planted = [
+        (1, "it " * 100 + "существование " * 60),  # 200 and 780 letters; more words of the script that Russian has not
+        (2, "garden " * 30 + "существо " * 15),  # 180 and 120 letters, but 180 and 240 bytes
+        (3, "the house and a garden " * 9 + german * 8),  # two languages of one script
+        (4, "12 34"),
+    ]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, t, lang in rows + [(i, t, "en") for i, t in planted]], "doc_id long, text string, lang string, source string, n_chars long")
+    model = train(docs.where("doc_id > 100"))
+    got = {r["doc_id"]: r for r in identify(docs.where("doc_id < 100"), model).collect()}
+    assert got[1]["lang_pred"] == "ru" and got[1]["lang_share"] == 780 / 980 and got[1]["lang_score"] < 0.5
+    assert got[2]["lang_pred"] == "en" and got[2]["lang_share"] == 180 / 300
+    assert got[3]["lang_pred"] == "de" and 0.5 < got[3]["lang_share"] < 0.6
+    assert got[4]["lang_pred"] == "und" and got[4]["lang_share"] == 0
+    assert {r["doc_id"] for r in P.language(spark, docs, "").collect() if r["doc_id"] < 100} == {1, 2, 3}
