@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetworth.llm import queries as Q
-from streetworth.llm._common import save, table, without
+from streetworth.llm._common import maybe_in, save, table
 from streetworth.llm.language import fold, identify, train
 from streetworth.llm.mixing import mix
-from streetworth.llm.ngram_join import ngram_jaccard
+from streetworth.llm.ngram_join import ngram_jaccard, with_set_id
 from streetworth.llm.packing import pack
 from streetworth.llm.pii import find_pii, redact
 
@@ -25,9 +25,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document of the smallest doc_id stays; those without words all stay."""
-    gone = save(ngram_jaccard(docs).where("doc_id <> component_id").select("doc_id"), "gone")
-    return without(docs, gone, "doc_id").select(docs.columns)
+    """Of each component of near duplicates, one row of the smallest doc_id stays; those without words or doc_id all stay.
+
+    Rows are known by doc_id and shingles, so a repeated row goes and another text under the doc_id of one that goes stays.
+    """
+    found = save(ngram_jaccard(docs).where("doc_id is not null and set_id is not null"), "found")
+    heads = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("set_id").alias("set_id"), F.count("*").alias("rows"))
+    several = save(heads.where("rows > 1").drop("rows"), "several")
+    others = found.where("doc_id = component_id").join(several.select("root", F.col("set_id").alias("kept")), "root").where("set_id <> kept")
+    gone = found.where("doc_id <> component_id").select("doc_id", "set_id").unionByName(others.select("doc_id", "set_id")).distinct()
+    met = save(gone.withColumn("goes", F.lit(True)).unionByName(several.select("doc_id", "set_id").withColumn("goes", F.lit(False))), "gone")
+
+    marked = maybe_in(docs, met, "doc_id")
+    hit = with_set_id(marked.where("_maybe").drop("_maybe")).join(met, ["doc_id", "set_id"], "left")
+    clear = hit.where("goes is null").select(docs.columns)
+    one = hit.where("not goes").dropDuplicates(["doc_id", "set_id"]).select(docs.columns)
+    return marked.where("not _maybe").select(docs.columns).unionByName(clear).unionByName(one)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

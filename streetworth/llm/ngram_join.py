@@ -21,6 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from streetworth.llm import _text as T
 from streetworth.llm._common import components, input_blocks, maybe_in, save
@@ -52,6 +53,22 @@ def _measure(k: int, bits: int):
     return run
 
 
+def _set_ids(k: int):
+    """Rows with the set_id of their text, as _measure gives it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, _, sets in _sets(batches, k):
+            ids = pa.array([T.digest64(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), ids], names=[*rows.schema.names, "set_id"])
+
+    return run
+
+
+def with_set_id(docs: DataFrame, k: int = 5) -> DataFrame:
+    """docs(..., text) with set_id, equal for texts of equal shingles and null for those without words."""
+    return docs.mapInArrow(_set_ids(k), StructType([*docs.schema.fields]).add("set_id", "long"))
+
+
 def _add_loads(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.int64(0)
     for x in pdf["loads"]:
@@ -174,7 +191,7 @@ def _decide(percent: int):
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int = 22, hot: int = 2_000_000) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, set_id) for each row of docs(doc_id, text).
+    """One row (doc_id, n_shingles, component_id, set_id, root) for each row of docs(doc_id, text); root is the smallest set_id of the component.
 
     Two texts link when their Jaccard similarity is at least percent / 100. Null and empty texts have no shingles and their own doc_id as component;
     equal rows and equal doc_ids stay separate rows. Other columns are not read. A shingle whose range of hashes has over `hot` occurrences is dealt
@@ -239,5 +256,5 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int
 
     ids = reps.join(found, "id", "left").withColumn("root", F.coalesce("component", "id"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(least, "root").select(F.col("id").alias("set_id"), "component_id")
-    return texts.join(ids, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id")
+    ids = ids.join(least, "root").select(F.col("id").alias("set_id"), "component_id", "root")
+    return texts.join(ids, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "root")

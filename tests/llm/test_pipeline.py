@@ -49,3 +49,13 @@ def test_language_keeps_texts_with_half_of_their_letters_in_one_language(spark):
     assert got[3]["lang_pred"] == "de" and 0.5 < got[3]["lang_share"] < 0.6
     assert got[4]["lang_pred"] == "und" and got[4]["lang_share"] == 0
     assert {r["doc_id"] for r in P.language(spark, docs, "").collect() if r["doc_id"] < 100} == {1, 2, 3}
+
+
+def test_near_duplicates_knows_rows_by_doc_id_and_text(spark):
+    same, clean = "a b c d e f g h i j k l", "other words that stand alone under a doc_id met before"
+    rows = [(1, same), (1, same), (1, same.upper()), (2, same), (2, clean), (3, same + " m"), (4, None), (4, None), (5, "x y z"), (5, "x y z"), (None, same)]
+    rows += [(6, "p q r s t u v w x y z 0 1 2 3"), (6, "p q r s t u v w x y z 0 1 2 3 4"), (6, "nothing in common with the other two rows of six")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in P.near_duplicates(spark, docs, "").collect()]
+    assert sorted(str(i) for i, _ in got) == ["1", "2", "4", "4", "5", "6", "6", "None"]
+    assert (2, clean) in got and any(i == 6 and t.startswith("nothing") for i, t in got) and all(t.lower() == same for i, t in got if i == 1)
