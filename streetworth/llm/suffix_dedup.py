@@ -5,12 +5,17 @@ equals), so equal windows have their anchors at equal places. An anchor's contex
 reversed prefix before it. Anchors whose gram occurs once are done with. The others are sorted into front-coded runs, the runs are exchanged by gram, and
 each reducer combines its runs with a loser tree that carries common prefixes and never compares known characters again. The merged order with its common
 prefixes, and the order of the reversed prefixes, say exactly which windows repeat; hashes only choose what is compared.
+
+A gram that occurs very often would fill one task. Its contexts are grouped by keys that grow instead: for a range of distances from window start to anchor,
+the bytes that all windows of the range have (the inner key) tell apart contexts that can't share a window, and the bytes that any of them has (the
+outer key) tell which contexts share all. What neither settles is halved, down to single windows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -115,6 +120,14 @@ def _first_pass(length: int, gram: int, blocks: int):
     return run
 
 
+def _often(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Keys of grams that are frequent in a flush of the first pass, with how often they occur there beyond two."""
+    for frame in frames:
+        for keys in frame["keys"]:
+            key, n = np.unique(np.frombuffer(keys, np.int64), return_counts=True)
+            yield pd.DataFrame({"key": key, "n": n.astype(np.int64)})
+
+
 def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
     """Of one block of grams, the anchors whose gram occurs at two or more places; rows (text_id, places)."""
     keys, texts, places = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("keys", np.uint64), ("texts", np.int64), ("places", np.int64)))
@@ -214,8 +227,26 @@ def merge_runs(runs: list[bytes]) -> Iterator[tuple[int, tuple]]:
             node //= 2
 
 
-def _runs(length: int, gram: int, blocks: int):
-    """Texts with the places of their surviving anchors: sorted front-coded runs of the anchors' contexts, dealt by gram. Equal contexts stay next to each other and cost a few bytes."""
+def _surviving(batches: Iterator[pa.RecordBatch], length: int, gram: int, hot: np.ndarray, wanted: bool):
+    """For each text and slice with places of surviving anchors: the slice's bytes, the text's offset and id, and (anchor, first, last, key) of the anchors whose key is hot, or is not."""
+    for rows, data, offsets in T.slices(batches):
+        ids, lists = rows.column(rows.schema.get_field_index("text_id")).to_pylist(), rows.column(rows.schema.get_field_index("places")).to_pylist()
+        at, first, last, keys = anchors(data, offsets, length, gram)
+        text = np.searchsorted(offsets, at, "right") - 1
+        raw = data.tobytes()
+        cuts = np.searchsorted(text, np.arange(len(ids) + 1))
+        mine = np.isin(keys, hot) == wanted
+        for i, (text_id, places) in enumerate(zip(ids, lists, strict=True)):
+            a, b = cuts[i], cuts[i + 1]
+            take = a + np.flatnonzero(mine[a:b] & np.isin(at[a:b] - offsets[i], np.frombuffer(b"".join(places), np.int64)))
+            if not len(take) or _text_id(hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).digest()) != text_id:
+                continue  # another row of that doc_id
+            yield raw, int(offsets[i]), text_id, at[take], first[take], last[take], keys[take]
+
+
+def _runs(length: int, gram: int, blocks: int, hot: np.ndarray):
+    """Texts with the places of their surviving anchors: sorted front-coded runs of the anchors' contexts but those of hot grams, dealt by gram. Equal contexts stay next to each other and
+    cost a few bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes, int, int]] = []
@@ -227,21 +258,11 @@ def _runs(length: int, gram: int, blocks: int):
                 by.setdefault(block, []).append(tuple(entry))
             return pa.record_batch({"block": pa.array(list(by), pa.int64()), "run": pa.array([front_coded(sorted(x)) for x in by.values()], pa.binary())})
 
-        for rows, data, offsets in T.slices(batches):
-            ids, lists = rows.column(rows.schema.get_field_index("text_id")).to_pylist(), rows.column(rows.schema.get_field_index("places")).to_pylist()
-            at, first, last, keys = anchors(data, offsets, length, gram)
-            text = np.searchsorted(offsets, at, "right") - 1
-            raw = data.tobytes()
-            cuts = np.searchsorted(text, np.arange(len(ids) + 1))
-            for i, (text_id, places) in enumerate(zip(ids, lists, strict=True)):
-                a, b = cuts[i], cuts[i + 1]
-                if _text_id(hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).digest()) != text_id:
-                    continue  # another row of that doc_id
-                take = a + np.flatnonzero(np.isin(at[a:b] - offsets[i], np.frombuffer(b"".join(places), np.int64)))
-                block = (T.mix(keys[take]) % np.uint64(blocks)).astype(np.int64)
-                for g, p, x, y in zip(block.tolist(), at[take].tolist(), first[take].tolist(), last[take].tolist(), strict=True):
-                    held.append((g, raw[p : y + length], raw[x:p][::-1], text_id, p - int(offsets[i])))
-                    size += y + length - x
+        for raw, offset, text_id, at, first, last, keys in _surviving(batches, length, gram, hot, False):
+            block = (T.mix(keys) % np.uint64(blocks)).astype(np.int64)
+            for g, p, x, y in zip(block.tolist(), at.tolist(), first.tolist(), last.tolist(), strict=True):
+                held.append((g, raw[p : y + length], raw[x:p][::-1], text_id, p - offset))
+                size += y + length - x
             if size > 24 << 20:
                 yield flush()
                 held, size = [], 0
@@ -317,6 +338,78 @@ def _merged(length: int, gram: int):
     return run
 
 
+_CONTEXT = "text_id long, place long, low long, high long, ahead binary, back binary"
+
+
+def _hot_contexts(length: int, gram: int, hot: np.ndarray):
+    """Of hot grams' anchors: the contexts (suffix, reversed prefix, and the distances from window start to anchor that the anchor answers for), each once for 24 MB of what is held, and
+    the spans of those that are equal in full there, joined within each text, as rows of _CONTEXT with distances 0 and null bytes (place is the start, high the end)."""
+    schema = pa.schema([*((c, pa.int64()) for c in ("text_id", "place", "low", "high")), ("ahead", pa.binary()), ("back", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, set[tuple[int, int]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            out, spans = [], []
+            for (low, high, ahead, back), members in held.items():
+                out.append((*min(members), low, high, ahead, back))
+                if len(members) > 1:
+                    spans += ((text, place - high, place - low + length) for text, place in members)
+            now = None
+            for text, start, end in sorted(spans):
+                if now and now[0] == text and start <= now[2]:
+                    now[2] = max(now[2], end)
+                else:
+                    if now:
+                        out.append((now[0], now[1], 0, now[2], None, None))
+                    now = [text, start, end]
+            if now:
+                out.append((now[0], now[1], 0, now[2], None, None))
+            return pa.record_batch([pa.array([o[i] for o in out], schema.types[i]) for i in range(6)], schema=schema)
+
+        for raw, offset, text_id, at, first, last, _ in _surviving(batches, length, gram, hot, True):
+            for p, x, y in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+                context = (p - y, p - x, raw[p : y + length], raw[x:p][::-1])
+                if context not in held:
+                    size += y + length - x
+                held.setdefault(context, set()).add((text_id, p - offset))
+                size += 100
+            if size > 24 << 20:
+                yield flush()
+                held, size = {}, 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _hot_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(text_id, start, end) of the repeated windows of saved rows of _CONTEXT. Every round works on a saved table and no task holds a group: of contexts with one outer key, which all repeat,
+    one goes on for all, and a context leaves a range of distances when no other one has its inner key there."""
+    spans = lambda t: t.select("text_id", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + length).alias("end"))
+    whole, one, context = ["low", "high", "outer"], ["text_id", "place", "low", "high"], F.struct("text_id", "place")
+    outer, inner = F.expr("sha2(concat(ahead, back), 256)"), F.expr(f"sha2(concat(substring(ahead, 1, cast({length} - hi as int)), substring(back, 1, cast(lo as int))), 256)")
+    found = [contexts.where("ahead is null").select("text_id", F.col("place").alias("start"), F.col("high").alias("end"))]
+    state = contexts.where("ahead is not null").withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(length - gram).cast("long")})
+    for _ in range((length - gram).bit_length() + 2):
+        state = save(state.withColumns({"outer": outer, "inner": inner}), "contexts")
+        if state.isEmpty():
+            break
+        classes = state.groupBy(*whole).agg(F.min(context).alias("one"), F.max(context).alias("other"), *(F.min(c).alias(c) for c in ("lo", "hi", "inner")))
+        classes = save(classes, "outer")
+        found.append(spans(state.select(*one, "outer").join(classes.where("one <> other").select(*whole), whole, "left_semi")))
+        many = classes.where("lo < hi").groupBy("lo", "inner").agg(F.count("*").alias("n")).where("n > 1")
+        goes = classes.join(many, ["lo", "inner"], "left_semi").select("one.text_id", "one.place", "low", "high")
+        halves = F.expr("explode(array(struct(lo, (lo + hi) div 2 as hi), struct((lo + hi) div 2 + 1 as lo, hi)))")
+        state = state.join(goes, one).select("text_id", "place", "low", "high", "ahead", "back", halves.alias("half")).select("*", "half.lo", "half.hi").drop("half")
+        state = state.withColumns({"low": F.greatest("low", "lo"), "high": F.least("high", "hi")}).where("low <= high")
+        state = state.withColumns({"ahead": F.expr(f"substring(ahead, 1, cast({length} - low as int))"), "back": F.expr("substring(back, 1, cast(high as int))")})
+    else:
+        raise RuntimeError("contexts of hot grams did not settle")
+    return reduce(DataFrame.unionByName, found)
+
+
 _CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -341,11 +434,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({c: pa.array([o[i] for o in out], t) for i, (c, t) in enumerate(types.items())})
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400, gram: int = 100) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 400, gram: int = 100, hot: int = 4096) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Texts are UTF-8 bytes, a null text is empty, and matches never cross texts. Equal texts of at least `length` bytes go whole; one of them stands for all
-    in the search. Rows are known by doc_id and text; other columns are not read; an empty table gives no rows.
+    in the search. Rows are known by doc_id and text; other columns are not read; an empty table gives no rows. The contexts of a gram
+    that is known to occur over `hot` times are not merged in one task.
     """
     docs = docs.select("doc_id", "text")
     blocks = input_blocks(docs)
@@ -357,8 +451,12 @@ def dedup_substrings(docs: DataFrame, length: int = 400, gram: int = 100) -> Dat
     places = dealt.unionByName(sure).groupBy("text_id").agg(F.collect_list("places").alias("places"))
     wanted = classes.join(places, "text_id").select("doc_id", "text_id", "places")
     near = save(docs.where("text is not null").join(wanted, "doc_id"), "texts")
-    runs = near.mapInArrow(_runs(length, gram, blocks), "block long, run binary")
+    often = first.where("block = -1").select("keys").mapInPandas(_often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
+    keys = np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64)
+    runs = near.mapInArrow(_runs(length, gram, blocks, keys), "block long, run binary")
     found = runs.groupBy("block").applyInPandas(_merged(length, gram), "text_id long, start long, end long")
+    if len(keys):
+        found = found.unionByName(_hot_repeats(save(near.mapInArrow(_hot_contexts(length, gram, keys), _CONTEXT), "hot"), length, gram))
     found = save(found.groupBy("text_id").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
 
     marked = texts.join(classes.select("text_id", "copies"), "text_id").join(found.select("text_id", F.lit(True).alias("hit")), "text_id", "left")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from streetworth.llm import quality
+from streetworth.llm import quality, suffix_dedup
 from streetworth.llm.language import identify, train, viterbi
 from streetworth.llm.license_scan import scan_licenses
 from streetworth.llm.mixing import mix
@@ -233,3 +233,44 @@ def test_licenses(spark, docs, empty):
     assert got[0] == (1, "MIT (statement)", 7, 37) and [g[1] for g in got if g[0] == 4] == ["CC-BY-NC-4.0 (statement)"]
     assert sum(g[0] == 5 for g in got) == 2 and not [g for g in got if g[0] in (2, 3)]
     assert scan_licenses(empty).count() == 0 and scan_licenses(docs).count() == 0
+
+
+def test_suffix_dedup_splits_hot_grams(spark, monkeypatch):
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    passage, long, exact = letters(390), letters(900), letters(1500)
+    rows = [letters(int(rng.integers(0, 300))) + passage + "xy"[i % 2] * int(rng.integers(0, 40)) + letters(300) for i in range(150)]  # few pairs share a window
+    rows += [letters(int(rng.integers(0, 300))) + long[: int(rng.integers(395, 900))] + letters(200) for _ in range(150)]
+    rows += [exact + letters(50) for _ in range(80)] + [letters(3) + passage + passage + long for _ in range(20)]
+    texts = dict(enumerate(rows))
+    docs = spark.createDataFrame([*texts.items(), (0, rows[0])], "doc_id long, text string").repartition(4)
+    times = {}
+    for t in set(rows):
+        for i in range(len(t) - 399):
+            times[t[i : i + 400]] = times.get(t[i : i + 400], 0) + 1
+    merged = suffix_dedup._merged
+
+    def guarded(length, gram):
+        run = merged(length, gram)
+
+        def small(pdf):
+            keys = {}
+            for r in pdf["run"]:
+                for _, suffix, *_ in suffix_dedup.read_run(r):
+                    keys[suffix[:gram]] = keys.get(suffix[:gram], 0) + 1
+            if max(keys.values()) > 100:
+                raise ValueError("a hot gram came to one task")
+            return run(pdf)
+
+        return small
+
+    monkeypatch.setattr(suffix_dedup, "_merged", guarded)
+    monkeypatch.setattr(suffix_dedup.dedup_substrings, "__defaults__", (400, 100, 30)[: len(suffix_dedup.dedup_substrings.__defaults__)])
+    got = {r["doc_id"]: tuple(r)[1:] for r in dedup_substrings(docs).collect()}
+    for k, t in texts.items():
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 399):
+            if times[t[i : i + 400]] > 1 or k == 0:
+                gone[i : i + 400] = True
+        runs = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
+        kept = bytes(np.frombuffer(t.encode(), np.uint8)[~gone])
+        assert got[k] == (len(t), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()), k
