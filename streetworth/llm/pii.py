@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streetworth.llm._common import bundled, restored
+
 #: Kinds in the order in which spans of one start are listed. The first four are always kept once valid; the others need the score.
 KINDS = ("email", "ip", "card", "phone", "iban", "phone_local")
 BASE = KINDS[:4]
@@ -94,15 +96,17 @@ def find_pii(docs: DataFrame, least_score: float = 0.6) -> DataFrame:
     """docs with `spans`: array<struct<start, end, rank, kind, score>> sorted by start and kind, over whole texts; a null text counts as empty.
 
     Kinds that the shape alone gives away are kept whenever valid; IBANs and local phone numbers need a score of least_score and must not overlap the
-    former. Other columns stay (one named `spans` is replaced). Linear in the text; no shuffle.
+    former. Other columns stay, whatever their names (one named `spans` is replaced); repeated rows give repeated results; an empty table gives no rows.
+    Linear in the text; no shuffle.
     """
-    docs = docs.withColumn("_text", F.coalesce("text", F.lit("")))
+    columns = [c for c in docs.columns if c.lower() != "spans"]
+    work = bundled(docs, "text").withColumn("whole", F.coalesce("text", F.lit("")))
     for kind in KINDS:
-        docs = docs.withColumn(f"_{kind}", _found(F.col("_text"), kind))
-    docs = docs.withColumn("_base", F.concat(*[F.col(f"_{k}") for k in BASE])).withColumn("_more", F.concat(*[F.col(f"_{k}") for k in KINDS if k not in BASE]))
-    free = F.filter("_more", lambda s: (s["score"] >= least_score) & ~F.exists("_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    spans = F.array_sort(F.concat("_base", free), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]).cast("int"))
-    return docs.withColumn("spans", spans).drop("_text", "_base", "_more", *[f"_{k}" for k in KINDS])
+        work = work.withColumn(kind, _found(F.col("whole"), kind))
+    work = work.withColumn("base", F.concat(*BASE)).withColumn("more", F.concat(*[k for k in KINDS if k not in BASE]))
+    free = F.filter("more", lambda s: (s["score"] >= least_score) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    spans = F.array_sort(F.concat("base", free), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]).cast("int"))
+    return work.select(*restored(work, columns, "text"), spans.alias("spans"))
 
 
 def listed(spans: Column) -> Column:
