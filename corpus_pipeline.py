@@ -6,11 +6,13 @@ return the columns of documents.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetworth.llm import queries as Q
-from streetworth.llm._common import maybe_in, save, table
+from streetworth.llm._common import bundled, maybe_in, restored, save, table
 from streetworth.llm.language import fold, identify, train
 from streetworth.llm.mixing import mix
 from streetworth.llm.ngram_join import ngram_jaccard, with_set_id
@@ -19,9 +21,10 @@ from streetworth.llm.pii import find_pii, redact
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, and those of which no language has half of the letters, go."""
+    """Documents without a letter (null and empty texts too), and those of which no language has half of the letters, go. Repeated rows are judged alike."""
     model = train(docs.where(fold("doc_id", 3) != 1))
-    return identify(docs, model).where("lang_pred <> 'und' and lang_share >= 0.5").select(docs.columns)
+    found = identify(bundled(docs, "text"), model).where("lang_pred <> 'und' and lang_share >= 0.5")
+    return found.select(*restored(found, docs.columns, "text"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,27 +39,31 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     gone = found.where("doc_id <> component_id").select("doc_id", "set_id").unionByName(others.select("doc_id", "set_id")).distinct()
     met = save(gone.withColumn("goes", F.lit(True)).unionByName(several.select("doc_id", "set_id").withColumn("goes", F.lit(False))), "gone")
 
-    marked = maybe_in(docs, met, "doc_id")
+    marked = maybe_in(bundled(docs, "doc_id", "text"), met, "doc_id")
     hit = with_set_id(marked.where("_maybe").drop("_maybe")).join(met, ["doc_id", "set_id"], "left")
-    clear = hit.where("goes is null").select(docs.columns)
-    one = hit.where("not goes").dropDuplicates(["doc_id", "set_id"]).select(docs.columns)
-    return marked.where("not _maybe").select(docs.columns).unionByName(clear).unionByName(one)
+    one = hit.where("not goes").dropDuplicates(["doc_id", "set_id"])
+    kept = [marked.where("not _maybe"), hit.where("goes is null"), one]
+    return reduce(DataFrame.unionByName, [k.select(*restored(k, docs.columns, "doc_id", "text")) for k in kept])
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kinds; every document stays."""
-    out = redact(find_pii(docs))
+    """Spans of personal data are replaced by their kinds and n_chars follows; every row stays, null and empty texts as they are."""
+    out = redact(find_pii(bundled(docs, "text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        n_chars = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
+        out = out.withColumn("others", F.col("others").withField("n_chars", n_chars))
+    return out.select(*restored(out, docs.columns, "text"))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents up to each leaf's budget, each at most once."""
-    return mix(docs, Q.domain(), Q.MIX_WEIGHTS, share=Q.MIX_SHARE, max_epochs=1).select(docs.columns)
+    """Documents up to each leaf's budget, each row at most once; the document that a leaf's budget cuts stays whole. Null and empty texts, which have no tokens, go."""
+    kept = ("doc_id", "text", "lang", "source")
+    mixed = mix(bundled(docs, *kept), Q.domain(), Q.MIX_WEIGHTS, share=Q.MIX_SHARE, max_epochs=1)
+    return mixed.select(*restored(mixed, docs.columns, *kept))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences (see pack); a null text is one end token, repeated rows are packed each, an empty table gives no rows."""
     return pack(docs, Q.tokenizer_path())
 
 
@@ -67,6 +74,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other on the documents of sf_dir; what each returns is saved in the shared folder before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = save(stage(spark, docs, sf_dir), name)
