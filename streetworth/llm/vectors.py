@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from streetworth.llm._common import components, save
+from streetworth.llm._common import components, input_blocks, save
 
 GRID = 4
 
@@ -40,7 +40,7 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raws.append(raw)
             dims.append(len(v) if usable else None)
             keys.append(hashlib.blake2b(f"{label}:".encode() + raw, digest_size=16).digest() if usable else None)
-        yield pa.record_batch([ids, pa.array(labels, pa.int32()), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "dim", "key", "raw"])
+        yield pa.record_batch([ids, pa.array(labels, pa.string()), pa.array(dims, pa.int32()), pa.array(keys, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "dim", "key", "raw"])
 
 
 def _unit(raws: list[bytes]) -> np.ndarray:
@@ -86,7 +86,7 @@ def _cells(shared, epsilon: float):
     return run
 
 
-_BLOCK = "block string, label int, dim int, n int, low array<double>, high array<double>, ids binary, weights binary, raw binary"
+_BLOCK = "block string, label string, dim int, n int, low array<double>, high array<double>, ids binary, weights binary, raw binary"
 
 
 def _intervals(shared, size: int):
@@ -100,7 +100,7 @@ def _intervals(shared, size: int):
             ids, weights = np.array([h[2] for h in held], np.int64), np.array([h[3] for h in held], np.int64)
             name = hashlib.blake2b(ids.tobytes(), digest_size=12).hexdigest()
             row = {"block": [name], "label": [held[0][0]], "dim": [held[0][1]], "n": [len(held)], "low": [y.min(0).tolist()], "high": [y.max(0).tolist()], "ids": [ids.tobytes()], "weights": [weights.tobytes()], "raw": [b"".join(h[4] for h in held)]}
-            return pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(row.items(), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()), strict=True)})
+            return pa.record_batch({k: pa.array(v, t) for (k, v), t in zip(row.items(), (pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()), strict=True)})
 
         for batch in batches:
             for row in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("label", "dim", "id", "copies", "raw")), strict=True):
@@ -180,16 +180,16 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, size: int = 512) -> D
 
     Two vectors link when their labels are equal and not null and their cosine, in double precision, is at least `cosine`. Vectors that are null, empty or
     zero or hold null or non-finite components, and those without a label, link with nothing. Equal vectors of a label are compared once and counted as
-    often as they occur. vec_id is a key; other columns are not read; an empty table gives no rows.
+    often as they occur. Labels are of any type that can be written as text, and equal where that is. vec_id is a key; other columns are not read; an empty table gives no rows.
     """
     sc = vectors.sparkSession.sparkContext
     epsilon = float(np.sqrt(2 - 2 * cosine)) + 1e-7
-    parsed = save(vectors.select("vec_id", "embedding", F.col("label").cast("int")).mapInArrow(_parsed, "vec_id long, label int, dim int, key binary, raw binary"), "vectors")
+    parsed = save(vectors.select("vec_id", "embedding", F.col("label").cast("string")).mapInArrow(_parsed, "vec_id long, label string, dim int, key binary, raw binary"), "vectors")
     reps = parsed.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("raw").alias("raw"))
     reps = save(reps, "reps")
     shared = sc.broadcast(_principal(reps, GRID))
     order = ["label", "dim", *(F.col("cells")[i] for i in range(GRID)), "id"]
-    sorted_ = reps.mapInArrow(_cells(shared, epsilon), "key binary, id long, copies long, label int, dim int, raw binary, cells array<int>").repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = reps.mapInArrow(_cells(shared, epsilon), "key binary, id long, copies long, label string, dim int, raw binary, cells array<int>").repartitionByRange(*order).sortWithinPartitions(*order)
     blocks = save(sorted_.mapInArrow(_intervals(shared, size), _BLOCK), "intervals")
 
     bounds = blocks.select("block", "label", "dim", "low", "high").withColumns({"c": F.floor(F.col("low")[0] / epsilon), "e": F.floor(F.col("high")[0] / epsilon)})
@@ -215,20 +215,50 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, size: int = 512) -> D
 # ---- exact top-k ----
 
 
-def segment_bounds(x: np.ndarray, segments: int) -> np.ndarray:
-    """sqrt(length) * mean and sqrt(length) * deviation of each segment, side by side.
+def levels(d: int) -> list[int]:
+    """How many leading components are segments of their own at each level, coarse to fine; the others form two segments."""
+    return [m for m in sorted({d // 8, d // 2, 3 * d // 4, 7 * d // 8}) if m and d - m >= 2]
 
-    For two vectors, the products of these sum to at least their inner product: it is that of the means plus, by Cauchy and Schwarz, at most that of the
-    deviations (which is the bound |x - y|**2 >= sum of length * ((mean - mean')**2 + (deviation - deviation')**2), solved for the inner product).
+
+def tail_segments(y: np.ndarray, m: int) -> np.ndarray:
+    """sqrt(length) * mean and sqrt(length) * deviation of the two segments behind the first m components, side by side.
+
+    For two vectors, the products of these and of the m leading components (segments of one, without deviation) sum to at least their inner product: that of
+    the means plus, by Cauchy and Schwarz, at most that of the deviations. It is the bound |x - y|**2 >= sum of length * ((mean - mean')**2 +
+    (deviation - deviation')**2), solved for the inner product.
     """
-    parts = np.array_split(x, segments, axis=1)
+    parts = np.array_split(y[:, m:], 2, axis=1)
     means = np.stack([p.mean(1) * np.sqrt(p.shape[1]) for p in parts], 1)
     deviations = np.stack([p.std(1) * np.sqrt(p.shape[1]) for p in parts], 1)
     return np.concatenate((means, deviations), 1)
 
 
-def _levels(d: int) -> list[int]:
-    return [s for s in (1, 4, 16) if s < d]
+def surviving(q: np.ndarray, x: np.ndarray, least: np.ndarray, other: np.ndarray, slack: float) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Pairs (row of q, row of x) of rotated vectors whose upper bound of the inner product reaches the query's `least` at every level, and the share of pairs alive after each.
+
+    `other` says which pairs count at all. Bounds of a level are products of the components that it adds to the last one; once few pairs are alive, only theirs.
+    """
+    alive, sums, at, shares = other.copy(), np.zeros((len(q), len(x))), 0, []
+    i = j = p = None
+    for m in levels(q.shape[1]):
+        tq, tx = tail_segments(q, m), tail_segments(x, m)
+        if i is None:
+            sums += q[:, at:m] @ x[:, at:m].T
+            alive &= ~(sums + tq @ tx.T + slack < least[:, None])
+            shares.append(float(alive.mean()))
+            if shares[-1] < 0.05:
+                i, j = np.nonzero(alive)
+                p = sums[i, j]
+        else:
+            keep = np.zeros(len(i), bool)
+            for a in range(0, len(i), 100_000):
+                u, v = i[a : a + 100_000], j[a : a + 100_000]
+                p[a : a + 100_000] += np.einsum("ij,ij->i", q[u, at:m], x[v, at:m])
+                keep[a : a + 100_000] = ~(p[a : a + 100_000] + np.einsum("ij,ij->i", tq[u], tx[v]) + slack < least[u])
+            i, j, p = i[keep], j[keep], p[keep]
+            shares.append(len(i) / alive.size)
+        at = m
+    return (*(np.nonzero(alive) if i is None else (i, j)), shares)
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -239,90 +269,130 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([min(high, max(low, sum(int(a) * int(b) for a, b in zip(u, v, strict=True)))) for u, v in zip(q, x, strict=True)], np.int64)
 
 
-def _searched(shared, k: int, rows: int = 2048):
-    """Each partition's best k of every query: coarse to fine, bounds drop candidates below the k-th best score so far; the rest is scored exactly."""
+_LOWEST = np.iinfo(np.int64).min
+
+
+def search(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarray, turn: np.ndarray, k: int, least: np.ndarray, rows: int = 2048, first: int = 256) -> tuple[np.ndarray, ...]:
+    """(query row, vec_id, score) of each query's best k among x, and each query's k-th score (or `least`, a score that it is known to reach, where that is more).
+
+    Without a score to reach, `first` candidates are scored exactly to have one; all others are held against bounds, and only survivors are scored.
+    """
+    least = least.copy()
+    out: list[tuple] = []
+    for a in range(0, len(q), rows):
+        ids, own, reach = qids[a : a + rows], q[a : a + rows], least[a : a + rows]
+        turned = own @ turn
+        best_row, best_id, best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        cuts = list(range(0, len(x), rows))
+        if len(x) > first and (reach == _LOWEST).any():
+            cuts = [0, *range(first, len(x), rows)]
+        for c, e in zip(cuts, [*cuts[1:], len(x)], strict=True):
+            cand, cids = x[c:e], xids[c:e]
+            slack = 1 + 1e-9 * np.abs(own).max(initial=0) * np.abs(cand).max(initial=0) * own.shape[1]
+            i, j, _ = surviving(turned, cand @ turn, reach.astype(float), ids[:, None] != cids[None, :], slack)
+            scores = np.concatenate([_exact(own[i[b : b + 100_000]], cand[j[b : b + 100_000]]) for b in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
+            best_row, best_id, best = np.concatenate((best_row, i)), np.concatenate((best_id, cids[j])), np.concatenate((best, scores))
+            order = np.lexsort((best_id, -best, best_row))
+            best_row, best_id, best = best_row[order], best_id[order], best[order]
+            nth = np.arange(len(best)) - np.searchsorted(best_row, best_row)
+            reach[best_row[nth == k - 1]] = np.maximum(reach[best_row[nth == k - 1]], best[nth == k - 1])
+            take = nth < k
+            best_row, best_id, best = best_row[take], best_id[take], best[take]
+        keep = best >= reach[best_row]
+        out.append((best_row[keep] + a, best_id[keep], best[keep]))
+    return (*(np.concatenate(c) for c in zip(*out, strict=True)), least)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors (vec_id, dim, raw) of floor(256 * x), as 32-bit numbers where they fit."""
+    for batch in batches:
+        found = [(i, np.floor(v * 256)) for i, v in zip(batch.column(0).to_pylist(), _vectors(batch.column(1)), strict=True) if v is not None and i is not None]
+        raws = [(w.astype(np.int32) if np.abs(w).max() < 2**31 else w).tobytes() for _, w in found]
+        yield pa.record_batch([pa.array([i for i, _ in found], pa.int64()), pa.array([len(w) for _, w in found], pa.int32()), pa.array(raws, pa.binary())], names=["vec_id", "dim", "raw"])
+
+
+def _numbers(raws: list[bytes], d: int) -> np.ndarray:
+    return np.array([np.frombuffer(r, np.int32 if len(r) == 4 * d else np.float64) for r in raws], np.float64).reshape(len(raws), d)
+
+
+def _energies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each dimension of the partition: the vectors, and the sums of products of their components at unit length."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        dims, raws = np.array(batch.column(1).to_pylist(), int), batch.column(2).to_pylist()
+        for d in set(dims.tolist()):
+            w = _numbers([r for r, e in zip(raws, dims.tolist(), strict=True) if e == d], d)
+            u = w[w.any(1)]
+            u = u / np.abs(u).max(1, keepdims=True)
+            u = u / np.sqrt((u * u).sum(1, keepdims=True))
+            sums[d] = sums.get(d, 0) + np.concatenate(([len(w)], (u.T @ u).ravel()))
+    yield pa.record_batch({"dim": pa.array(list(sums), pa.int32()), "value": pa.array(list(sums.values()), pa.list_(pa.float64()))})
+
+
+def _turns(whole: DataFrame) -> tuple[dict[int, np.ndarray], int]:
+    """For each dimension the orthogonal matrix to its principal directions, and the bytes of all vectors. The driver gets d * d numbers for each dimension d."""
+    parts = whole.mapInArrow(_energies, "dim int, value array<double>")
+    parts = parts.select("dim", F.posexplode("value").alias("i", "v")).groupBy("dim", "i").agg(F.sum("v").alias("v"))
+    sums: dict[int, dict[int, float]] = {}
+    for r in parts.collect():
+        sums.setdefault(r["dim"], {})[r["i"]] = r["v"]
+    turns = {d: np.linalg.eigh(np.array([s[i] for i in range(1, 1 + d * d)]).reshape(d, d))[1][:, ::-1].copy() for d, s in sums.items()}
+    return turns, int(sum(4 * d * s[0] for d, s in sums.items()))
+
+
+_FOUND = "query_id long, vec_id long, score long, least long, dim int, raw binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prepared = {}
-        for d, (ids, q) in shared.value.items():
-            prepared[d] = (ids, q, [segment_bounds(q, s) for s in _levels(d)], np.full((len(ids), k), np.iinfo(np.int64).min), np.full((len(ids), k), -1, np.int64), np.zeros((len(ids), k), bool))
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                by: dict[int, list] = {}
-                for vec_id, v in zip(part.column(0).to_pylist(), _vectors(part.column(1)), strict=True):
-                    if v is not None and vec_id is not None and len(v) in prepared:
-                        by.setdefault(len(v), []).append((vec_id, v))
-                for d, found in by.items():
-                    _update(prepared[d], np.array([f[0] for f in found], np.int64), np.floor(np.array([f[1] for f in found]) * 256), k, d)
-        out = [(ids[i], best_ids[i, j], scores[i, j]) for ids, _, _, scores, best_ids, used in prepared.values() for i, j in zip(*np.nonzero(used), strict=True)]
-        yield pa.record_batch({c: pa.array([o[i] for o in out], pa.int64()) for i, c in enumerate(("query_id", "vec_id", "score"))})
+
+def _met(shared, k: int, keep_queries: bool):
+    """A block of queries (vec_id, dim, raw, least) against a part of the candidates. Rows of found neighbours, and with keep_queries the queries with the score to reach."""
+
+    def run(candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("query_id", "vec_id", "score", "least", "dim", "raw")}
+        cdims, qdims = (np.array(t.column("dim").to_pylist(), int) for t in (candidates, queries))
+        for d in sorted(set(qdims.tolist())):
+            mine, own = np.flatnonzero(qdims == d), np.flatnonzero(cdims == d)
+            qids, least = (np.array(queries.column(c).take(mine).to_pylist(), np.int64) for c in ("vec_id", "least"))
+            raws = queries.column("raw").take(mine).to_pylist()
+            q, x = _numbers(raws, d), _numbers(candidates.column("raw").take(own).to_pylist(), d)
+            row, ids, scores, least = search(qids, q, np.array(candidates.column("vec_id").take(own).to_pylist(), np.int64), x, shared.value[d], k, least)
+            more = len(qids) if keep_queries else 0
+            for c, values in (("query_id", qids[row].tolist()), ("vec_id", ids.tolist()), ("score", scores.tolist()), ("least", [None] * len(row)), ("dim", [d] * len(row)), ("raw", [None] * len(row))):
+                out[c] += values
+            for c, values in (("query_id", qids.tolist()), ("vec_id", [None] * more), ("score", [None] * more), ("least", least.tolist()), ("dim", [d] * more), ("raw", raws)):
+                out[c] += values[:more]
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        return pa.table({c: pa.array(v, t) for (c, v), t in zip(out.items(), types, strict=True)})
 
     return run
 
 
-def _update(query: tuple, xids: np.ndarray, x: np.ndarray, k: int, d: int) -> None:
-    ids, q, bounds, scores, best_ids, used = query
-    reach = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * d
-    slack = 1 + 1e-9 * reach
-    lowest = np.iinfo(np.int64).min
-    least = np.where(used.all(1), scores[:, -1], lowest).astype(float)
-    alive = ids[:, None] != xids[None, :]
-    for level, (qb, segments) in enumerate(zip(bounds, _levels(d), strict=True)):
-        xb = segment_bounds(x, segments)
-        if level and alive.mean() < 0.05:
-            i, j = np.nonzero(alive)
-            for a in range(0, len(i), 200_000):
-                p, r = i[a : a + 200_000], j[a : a + 200_000]
-                alive[p, r] = np.einsum("ij,ij->i", qb[p], xb[r]) + slack >= least[p]
-            continue
-        upper = qb @ xb.T
-        if not level and not used.all():  # a first threshold: the exact scores of the k best bounds
-            top = np.argsort(-np.where(alive, upper, -np.inf), axis=1)[:, :k]
-            for i in np.flatnonzero(~used.all(1)):
-                if alive[i, top[i]].sum() == k:
-                    least[i] = _exact(np.repeat(q[i : i + 1], k, 0), x[top[i]]).min()
-        alive &= upper + slack >= least[:, None]
-    if alive.mean() > 0.02 and reach < 2**53:  # many survivors: one product of whole numbers below 2**53 is exact and cheaper than picking them out
-        whole = q @ x.T
-        i, j = np.nonzero(alive & (whole >= least[:, None]))
-        exact = whole[i, j].astype(np.int64)
-    else:
-        i, j = np.nonzero(alive)
-        exact = np.concatenate([_exact(q[i[a : a + 100_000]], x[j[a : a + 100_000]]) for a in range(0, len(i), 100_000)] or [np.zeros(0, np.int64)])
-    old_i, old_j = np.nonzero(used)
-    i, got, s = np.concatenate((i, old_i)), np.concatenate((xids[j], best_ids[old_i, old_j])), np.concatenate((exact, scores[old_i, old_j]))
-    order = np.lexsort((got, -s, i))
-    i, got, s = i[order], got[order], s[order]
-    nth = np.arange(len(i)) - np.searchsorted(i, i)
-    take = nth < k
-    used[:] = False
-    used[i[take], nth[take]], best_ids[i[take], nth[take]], scores[i[take], nth[take]] = True, got[take], s[take]
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 5, query_mb: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 5, query_mb: int = 32, part_mb: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score: for each row that is_query selects, the k other vectors of the highest inner product of floor(256 * x), ties to the smaller vec_id.
 
-    Vectors that are null, empty or hold null or non-finite components take no part; vectors of another dimension are not compared; scores beyond 64 bits
-    are held at the ends of that range. The queries are broadcast in parts of at most query_mb megabytes, for each of which the table is scanned once.
+    Blocks of at most about query_mb megabytes of queries meet parts of at most about part_mb of candidates; the first part of the candidates gives every query
+    a score to reach in the others. Vectors that are null, empty or hold null or non-finite components take no part; vectors of another dimension are not
+    compared; scores beyond 64 bits are held at the ends of that range. vec_id is a key: a repeated one is no candidate for itself, and its rows are all
+    queries or candidates. Other columns are not read; an empty table, or no query, gives no rows.
     """
-    spark = vectors.sparkSession
+    sc = vectors.sparkSession.sparkContext
     vectors = vectors.select("vec_id", "embedding")
-    queries = vectors.where(is_query).where("embedding is not null")
-    size = queries.agg(F.sum(F.size("embedding")).alias("n")).first()["n"] or 0
-    parts = max(1, -(-size * 8 // (query_mb << 20)))
-    found = None
-    for part in range(parts):
-        by: dict[int, tuple[list, list]] = {}
-        mine = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part) if parts > 1 else queries
-        for table in (mine.toArrow(),):
-            for vec_id, v in zip(table.column(0).to_pylist(), _vectors(table.column(1).combine_chunks()), strict=True):
-                if v is not None:
-                    by.setdefault(len(v), ([], []))
-                    by[len(v)][0].append(vec_id)
-                    by[len(v)][1].append(np.floor(v * 256))
-        shared = spark.sparkContext.broadcast({d: (np.array(i, np.int64), np.array(x)) for d, (i, x) in by.items()})
-        one = vectors.mapInArrow(_searched(shared, k), "query_id long, vec_id long, score long")
-        found = one if found is None else found.unionByName(one)
+    whole = vectors.mapInArrow(_whole, "vec_id long, dim int, raw binary")
+    turns, size = _turns(whole)
+    shared = sc.broadcast(turns)
+    queries = save(vectors.where(is_query).mapInArrow(_whole, "vec_id long, dim int, raw binary"), "queries")
+    blocks = 1 + (queries.agg(F.sum(F.length("raw"))).first()[0] or 0) // (query_mb << 20)
+    parts = max(input_blocks(vectors), size // (part_mb << 20) + 1)
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    candidates = whole.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(parts)).cast("int"))
+    candidates = candidates.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(int(blocks - 1)))))
+
+    def against(own: DataFrame, chosen: DataFrame, keep_queries: bool) -> DataFrame:
+        return chosen.groupBy("block", "part").cogroup(own.groupBy("block", "part")).applyInArrow(_met(shared, k, keep_queries), _FOUND)
+
+    first = queries.select("vec_id", "dim", "raw", "block", F.lit(0).alias("part"), F.lit(_LOWEST).alias("least"))
+    first = save(against(first, candidates.where("part = 0"), True), "first")
+    again = first.where("vec_id is null").select(F.col("query_id").alias("vec_id"), "dim", "raw", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), "least")
+    again = again.withColumn("part", F.explode(F.sequence(F.lit(1), F.lit(int(parts - 1)))))
+    found = first.where("vec_id is not null") if parts == 1 else first.where("vec_id is not null").unionByName(against(again, candidates.where("part > 0"), False))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
