@@ -32,16 +32,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are known by doc_id and shingles, so a repeated row goes and another text under the doc_id of one that goes stays.
     """
+    own = ["doc_id", "set_id", "second_id"]
     found = save(ngram_jaccard(docs).where("doc_id is not null and set_id is not null"), "found")
-    heads = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min("set_id").alias("set_id"), F.count("*").alias("rows"))
+    heads = found.where("doc_id = component_id").groupBy("root", "doc_id").agg(F.min(F.struct("set_id", "second_id")).alias("kept"), F.count("*").alias("rows"))
     several = save(heads.where("rows > 1").drop("rows"), "several")
-    others = found.where("doc_id = component_id").join(several.select("root", F.col("set_id").alias("kept")), "root").where("set_id <> kept")
-    gone = found.where("doc_id <> component_id").select("doc_id", "set_id").unionByName(others.select("doc_id", "set_id")).distinct()
-    met = save(gone.withColumn("goes", F.lit(True)).unionByName(several.select("doc_id", "set_id").withColumn("goes", F.lit(False))), "gone")
+    others = found.where("doc_id = component_id").join(several.select("root", "kept"), "root").where(F.struct("set_id", "second_id") != F.col("kept"))
+    gone = found.where("doc_id <> component_id").select(*own).unionByName(others.select(*own)).distinct()
+    met = save(gone.withColumn("goes", F.lit(True)).unionByName(several.select("doc_id", "kept.*").withColumn("goes", F.lit(False))), "gone")
 
     marked = maybe_in(bundled(docs, "doc_id", "text"), met, "doc_id")
-    hit = with_set_id(marked.where("_maybe").drop("_maybe")).join(met, ["doc_id", "set_id"], "left")
-    one = hit.where("not goes").dropDuplicates(["doc_id", "set_id"])
+    hit = with_set_id(marked.where("_maybe").drop("_maybe")).join(met, own, "left")
+    one = hit.where("not goes").dropDuplicates(own)
     kept = [marked.where("not _maybe"), hit.where("goes is null"), one]
     return reduce(DataFrame.unionByName, [k.select(*restored(k, docs.columns, "doc_id", "text")) for k in kept])
 

@@ -124,6 +124,7 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
-def digest64(x: np.ndarray | bytes) -> int:
-    """A signed 64-bit digest of an array's bytes."""
-    return int.from_bytes(hashlib.blake2b(x if isinstance(x, bytes) else x.tobytes(), digest_size=8).digest(), "little", signed=True)
+def digests(x: np.ndarray) -> tuple[int, int]:
+    """The halves of a 128-bit digest of an array's bytes, as signed numbers."""
+    found = hashlib.blake2b(x.tobytes(), digest_size=16).digest()
+    return int.from_bytes(found[:8], "little", signed=True), int.from_bytes(found[8:], "little", signed=True)

@@ -41,32 +41,40 @@ def _measure(k: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(1 << bits, np.int32)
-        schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("loads", pa.binary())])
+        schema = pa.schema([("doc_id", pa.int64()), ("set_id", pa.int64()), ("second_id", pa.int64()), ("n", pa.int64()), ("chunk", pa.int32()), ("loads", pa.binary())])
         for rows, hashes, sets in _sets(batches, k):
             np.add.at(loads, hashes >> np.uint64(64 - bits), 1)
             m = len(sets)
-            yield pa.record_batch([rows.column(0), pa.array([T.digest64(s) if len(s) else None for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
+            ids = [T.digests(s) if len(s) else (None, None) for s in sets]
+            yield pa.record_batch([rows.column(0), *(pa.array([i[h] for i in ids], pa.int64()) for h in (0, 1)), pa.array([len(s) for s in sets], pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], schema=schema)
         parts = [zlib.compress(x.tobytes(), 1) for x in np.split(loads, _CHUNKS)]
         if loads.any():
-            yield pa.record_batch([pa.nulls(_CHUNKS, pa.int64())] * 3 + [pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
+            yield pa.record_batch([pa.nulls(_CHUNKS, pa.int64())] * 4 + [pa.array(range(_CHUNKS), pa.int32()), pa.array(parts, pa.binary())], schema=schema)
 
     return run
 
 
+def _own_id(s: np.ndarray, clashing: frozenset[int]) -> int:
+    """The id of a set: half of its 128-bit digest, the other half where another set of the corpus has the first one too."""
+    first, second = T.digests(s)
+    return second if first in clashing else first
+
+
 def _set_ids(k: int):
-    """Rows with the set_id of their text, as _measure gives it."""
+    """Rows with both halves of the digest of their text's set, as _measure gives them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, sets in _sets(batches, k):
-            ids = pa.array([T.digest64(s) if len(s) else None for s in sets], pa.int64())
-            yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), ids], names=[*rows.schema.names, "set_id"])
+            ids = [T.digests(s) if len(s) else (None, None) for s in sets]
+            halves = [pa.array([i[h] for i in ids], pa.int64()) for h in (0, 1)]
+            yield pa.record_batch([*(rows.column(i) for i in range(rows.num_columns)), *halves], names=[*rows.schema.names, "set_id", "second_id"])
 
     return run
 
 
 def with_set_id(docs: DataFrame, k: int = 5) -> DataFrame:
-    """docs(..., text) with set_id, equal for texts of equal shingles and null for those without words."""
-    return docs.mapInArrow(_set_ids(k), StructType([*docs.schema.fields]).add("set_id", "long"))
+    """docs(..., text) with set_id and second_id, the halves of a 128-bit digest: equal for texts of equal shingles and null for those without words."""
+    return docs.mapInArrow(_set_ids(k), StructType([*docs.schema.fields]).add("set_id", "long").add("second_id", "long"))
 
 
 def _add_loads(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -91,7 +99,7 @@ def _load_classes(first: DataFrame, bits: int, hot: int) -> tuple[np.ndarray, np
     return classes, np.minimum(1 + loads // hot, 65535).astype(np.uint16)
 
 
-def _incidences(k: int, percent: int, bits: int, shared, blocks: int):
+def _incidences(k: int, percent: int, bits: int, shared, blocks: int, clashing: frozenset[int]):
     """Map side of the second pass: each class's prefix of shingles, dealt into blocks; a class once for each partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +120,7 @@ def _incidences(k: int, percent: int, bits: int, shared, blocks: int):
 
         for _, _, sets in _sets(batches, k):
             for s in sets:
-                if not len(s) or (own := T.digest64(s)) in seen:
+                if not len(s) or (own := _own_id(s, clashing)) in seen:
                     continue
                 seen.add(own)
                 keys = np.sort((s >> np.uint64(4)) | (classes[s >> np.uint64(64 - bits)].astype(np.uint64) << np.uint64(60)))
@@ -153,24 +161,18 @@ def _groups(bits: int, shared):
     return run
 
 
-def _packed(k: int):
-    """The texts of classes: their sets, 48 bits for each shingle (two sets of a thousand then collide once in 10**8 pairs)."""
+def _packed(k: int, clashing: frozenset[int]):
+    """The texts of classes: their sets, 64 bits for each shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, sets in _sets(batches, k):
             want = rows.column(rows.schema.get_field_index("id")).to_pylist()
-            got = [(w, np.ascontiguousarray((s >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()) for w, s in zip(want, sets, strict=True) if len(s) and T.digest64(s) == w]
+            got = [(w, s.tobytes()) for w, s in zip(want, sets, strict=True) if len(s) and _own_id(s, clashing) == w]
             yield pa.record_batch({"id": pa.array([g[0] for g in got], pa.int64()), "packed": pa.array([g[1] for g in got], pa.binary())})
 
     return run
 
 
-def _unpacked(x: bytes) -> np.ndarray:
-    wide = np.zeros((len(x) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-    return wide.view(np.uint64).ravel()
-
-
 def _decide(percent: int):
     """Pairs with both sets: those that reach the threshold, with the overlap."""
 
@@ -180,7 +182,7 @@ def _decide(percent: int):
             a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
             out = []
             for i in range(len(a)):
-                both = np.sort(np.concatenate((_unpacked(x[i]), _unpacked(y[i]))))
+                both = np.sort(np.frombuffer(x[i] + y[i], np.uint64))
                 shared = int((both[1:] == both[:-1]).sum())
                 if 100 * shared >= percent * (len(both) - shared):
                     out.append((a[i], b[i], shared))
@@ -191,7 +193,7 @@ def _decide(percent: int):
 
 
 def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int = 22, hot: int = 2_000_000) -> DataFrame:
-    """One row (doc_id, n_shingles, component_id, set_id, root) for each row of docs(doc_id, text); root is the smallest set_id of the component.
+    """One row (doc_id, n_shingles, component_id, set_id, second_id, root) for each row of docs(doc_id, text); root is the smallest id of a set in the component.
 
     Two texts link when their Jaccard similarity is at least percent / 100. Null and empty texts have no shingles and their own doc_id as component;
     equal rows and equal doc_ids stay separate rows. Other columns are not read. A shingle whose range of hashes has over `hot` occurrences is dealt
@@ -201,12 +203,22 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     blocks = input_blocks(docs)
-    first = save(docs.mapInArrow(_measure(k, load_bits), "doc_id long, set_id long, n long, chunk int, loads binary"), "sets")
+    first = save(docs.mapInArrow(_measure(k, load_bits), "doc_id long, set_id long, second_id long, n long, chunk int, loads binary"), "sets")
     shared = spark.sparkContext.broadcast(_load_classes(first, load_bits, hot))
-    texts = first.where("chunk is null").select("doc_id", "set_id", "n")
-    reps = save(texts.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")).withColumnRenamed("set_id", "id"), "classes")
+    texts = first.where("chunk is null").withColumn("id", F.col("set_id"))
+
+    def classes() -> DataFrame:
+        second = [F.min("second_id").alias("least"), F.max("second_id").alias("most")]
+        return save(texts.where("id is not null").groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), *second), "classes")
+
+    reps = classes()
+    # of n different sets about n * n / 2**65 share half a digest: none below a few thousand millions
+    clashing = frozenset(r["id"] for r in reps.where("least <> most").select("id").collect())
+    if clashing:
+        texts = texts.withColumn("id", F.when(F.col("id").isin(*clashing), F.col("second_id")).otherwise(F.col("id")))
+        reps = classes()
 
-    dealt = docs.mapInArrow(_incidences(k, percent, load_bits, shared, blocks), "block long, keys binary, ids binary, places binary")
+    dealt = docs.mapInArrow(_incidences(k, percent, load_bits, shared, blocks, clashing), "block long, keys binary, ids binary, places binary")
     groups = dealt.groupBy("block").applyInPandas(_groups(load_bits, shared), "gid long, id long, w long, place long")
     groups = save(groups.groupBy("gid", "id").agg(F.sum("w").alias("w"), F.min("place").alias("place")), "groups")
 
@@ -237,7 +249,7 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int
         ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         wanted = save(reps.join(ends, "id").select("doc_id", "id"), "wanted")
         near = maybe_in(docs, wanted, "doc_id").where("_maybe").drop("_maybe")
-        packed = save(near.join(wanted, "doc_id").select("id", "text").mapInArrow(_packed(k), "id long, packed binary"), "packed")
+        packed = save(near.join(wanted, "doc_id").select("id", "text").mapInArrow(_packed(k, clashing), "id long, packed binary"), "packed")
         left = packed.select(F.col("id").alias("a"), F.col("packed").alias("x"))
         right = packed.select(F.col("id").alias("b"), F.col("packed").alias("y"))
         return save(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_decide(percent), "a long, b long, shared long").distinct(), name)
@@ -249,12 +261,16 @@ def ngram_jaccard(docs: DataFrame, k: int = 5, percent: int = 75, load_bits: int
     labelled = sized.join(found, "id", "left").select("gid", "id", "n", "place", F.coalesce("component", "id").alias("label"))
     open_ids = labelled.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("gid")
     rest = save(labelled.join(open_ids, "gid"), "open")
-    other = rest.select("gid", F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
-    pairs = rest.join(other, "gid").where("id < b and label <> label_b").where(fits).select(F.col("id").alias("a"), "b").distinct()
+    # the larger set of a pair is in the size class of the smaller one or in the next, so a crowded group is multiplied out class by class
+    size_class = F.floor(F.log("n") / float(np.log(100 / percent)))
+    larger = rest.select("gid", size_class.alias("size"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
+    smaller = rest.withColumn("size", F.explode(F.array(size_class, size_class + 1)))
+    pairs = smaller.join(larger, ["gid", "size"]).where("label <> label_b and (n < m or (n = m and id < b))").where(fits)
+    pairs = pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
     more = decide(save(bounded(pairs.join(stars, ["a", "b"], "left_anti")), "pairs"), "links")
     found = components(links.unionByName(more))
 
     ids = reps.join(found, "id", "left").withColumn("root", F.coalesce("component", "id"))
     least = ids.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    ids = ids.join(least, "root").select(F.col("id").alias("set_id"), "component_id", "root")
-    return texts.join(ids, "set_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "root")
+    ids = ids.join(least, "root").select("id", "component_id", "root")
+    return texts.join(ids, "id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "set_id", "second_id", "root")
