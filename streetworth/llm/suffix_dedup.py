@@ -34,6 +34,12 @@ def _text_id(sha: bytes) -> int:
     return int.from_bytes(sha[:8], "little", signed=True)
 
 
+def _is(text_id: int, raw: bytes) -> bool:
+    """Whether a row's text_id is that of the text: the first eight bytes of its digest, or the next where two texts of the corpus agree in those."""
+    sha = hashlib.sha256(raw).digest()
+    return text_id in (_text_id(sha), _text_id(sha[8:]))
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of x[i:i+w] for each i with a whole window: prefix minima from the right and the left of blocks of w."""
     n = len(x)
@@ -76,7 +82,7 @@ def _first_pass(length: int, gram: int, blocks: int):
     schema = pa.schema([("doc_id", pa.int64()), ("text_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("block", pa.int64()), ("keys", pa.binary()), ("texts", pa.binary()), ("places", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
@@ -105,7 +111,7 @@ def _first_pass(length: int, gram: int, blocks: int):
             at, _, _, keys = anchors(data, offsets, length, gram)
             text = np.searchsorted(offsets, at, "right") - 1
             new = np.zeros(m, bool)
-            for i, x in enumerate(ids.tolist()):
+            for i, x in enumerate(shas):
                 new[i] = x not in seen
                 seen.add(x)
             take = new[text]
@@ -128,21 +134,24 @@ def _often(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"key": key, "n": n.astype(np.int64)})
 
 
-def _survivors(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one block of grams, the anchors whose gram occurs at two or more places; rows (text_id, places)."""
-    keys, texts, places = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("keys", np.uint64), ("texts", np.int64), ("places", np.int64)))
-    if pdf["block"].iloc[0] >= 0:
-        order = np.lexsort((places, texts, keys))
-        keys, texts, places = keys[order], texts[order], places[order]
-        new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1]) | (places[1:] != places[:-1])))
-        keys, texts, places = keys[new], texts[new], places[new]
-        same = keys[1:] == keys[:-1]
-        take = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        texts, places = texts[take], places[take]
-    order = np.argsort(texts, kind="stable")
-    texts, places = texts[order], places[order]
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(texts)) + 1, [len(texts)])) if len(texts) else np.zeros(1, int)
-    return pd.DataFrame({"text_id": texts[cuts[:-1]], "places": [places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+def _survivors(clashing: list[int]):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Of one block of grams, the anchors whose gram occurs at two or more places (and all of texts that share their text_id with another); rows (text_id, places)."""
+        keys, texts, places = (np.frombuffer(b"".join(pdf[c]), t) for c, t in (("keys", np.uint64), ("texts", np.int64), ("places", np.int64)))
+        if pdf["block"].iloc[0] >= 0:
+            order = np.lexsort((places, texts, keys))
+            keys, texts, places = keys[order], texts[order], places[order]
+            new = np.concatenate(([True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1]) | (places[1:] != places[:-1])))
+            keys, texts, places = keys[new], texts[new], places[new]
+            same = keys[1:] == keys[:-1]
+            take = np.concatenate((same, [False])) | np.concatenate(([False], same)) | np.isin(texts, clashing)
+            texts, places = texts[take], places[take]
+        order = np.argsort(texts, kind="stable")
+        texts, places = texts[order], places[order]
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(texts)) + 1, [len(texts)])) if len(texts) else np.zeros(1, int)
+        return pd.DataFrame({"text_id": texts[cuts[:-1]], "places": [places[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]})
+
+    return run
 
 
 def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
@@ -239,7 +248,7 @@ def _surviving(batches: Iterator[pa.RecordBatch], length: int, gram: int, hot: n
         for i, (text_id, places) in enumerate(zip(ids, lists, strict=True)):
             a, b = cuts[i], cuts[i + 1]
             take = a + np.flatnonzero(mine[a:b] & np.isin(at[a:b] - offsets[i], np.frombuffer(b"".join(places), np.int64)))
-            if not len(take) or _text_id(hashlib.sha256(raw[offsets[i] : offsets[i + 1]]).digest()) != text_id:
+            if not len(take) or not _is(text_id, raw[offsets[i] : offsets[i + 1]]):
                 continue  # another row of that doc_id
             yield raw, int(offsets[i]), text_id, at[take], first[take], last[take], keys[take]
 
@@ -274,7 +283,9 @@ def _runs(length: int, gram: int, blocks: int, hot: np.ndarray):
 
 def repeated(group: list[tuple[bytes, bytes]], prefixes: list[int], length: int) -> list[list[tuple[int, int]]]:
     """For anchors of one gram in the order of their suffixes, with common prefixes (the first is not read): for each, intervals (low, high) of distances
-    from window start to anchor whose window another one shares: suffixes equal for length - distance bytes and reversed prefixes for distance bytes."""
+    from window start to anchor whose window another one shares: suffixes equal for length - distance bytes and reversed prefixes for distance bytes.
+
+    Distances end at length - gram, so there are at most that many breaks, whatever n: the work grows as n log n."""
     n = len(group)
     out: list[list[tuple[int, int]]] = [[] for _ in group]
     if n == 2:
@@ -392,7 +403,7 @@ def _hot_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
     outer, inner = F.expr("sha2(concat(ahead, back), 256)"), F.expr(f"sha2(concat(substring(ahead, 1, cast({length} - hi as int)), substring(back, 1, cast(lo as int))), 256)")
     found = [contexts.where("ahead is null").select("text_id", F.col("place").alias("start"), F.col("high").alias("end"))]
     state = contexts.where("ahead is not null").withColumns({"lo": F.lit(0).cast("long"), "hi": F.lit(length - gram).cast("long")})
-    for _ in range((length - gram).bit_length() + 2):
+    while True:  # a round for each halving of the distances, about log2(length - gram)
         state = save(state.withColumns({"outer": outer, "inner": inner}), "contexts")
         if state.isEmpty():
             break
@@ -405,8 +416,6 @@ def _hot_repeats(contexts: DataFrame, length: int, gram: int) -> DataFrame:
         state = state.join(goes, one).select("text_id", "place", "low", "high", "ahead", "back", halves.alias("half")).select("*", "half.lo", "half.hi").drop("half")
         state = state.withColumns({"low": F.greatest("low", "lo"), "high": F.least("high", "hi")}).where("low <= high")
         state = state.withColumns({"ahead": F.expr(f"substring(ahead, 1, cast({length} - low as int))"), "back": F.expr("substring(back, 1, cast(high as int))")})
-    else:
-        raise RuntimeError("contexts of hot grams did not settle")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -421,7 +430,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, text_id, text, own in zip(docs, ids, texts, spans, strict=True):
             raw, kept, at, runs, removed = text.encode(), [], 0, 0, 0
-            if _text_id(hashlib.sha256(raw).digest()) != text_id:
+            if not _is(text_id, raw):
                 continue  # another row of that doc_id
             for start, end in sorted((s["start"], s["end"]) for s in own):
                 if start > at or not runs:
@@ -445,11 +454,26 @@ def dedup_substrings(docs: DataFrame, length: int = 400, gram: int = 100, hot: i
     blocks = input_blocks(docs)
     first = save(docs.mapInArrow(_first_pass(length, gram, blocks), "doc_id long, text_id long, n_bytes long, sha binary, block long, keys binary, texts binary, places binary"), "anchors")
     texts = first.where("block is null").select("doc_id", "text_id", "n_bytes", "sha")
-    classes = texts.groupBy("text_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
-    dealt = first.where("block >= 0").select("block", "keys", "texts", "places").groupBy("block").applyInPandas(_survivors, "text_id long, places binary")
-    sure = first.where("block = -1").select("block", "keys", "texts", "places").mapInPandas(lambda frames: (_survivors(f.iloc[i : i + 1]) for f in frames for i in range(len(f))), "text_id long, places binary")
+
+    def known(texts: DataFrame) -> DataFrame:
+        """A row for each text. The check tells texts apart that agree in text_id."""
+        check = F.xxhash64("sha")
+        return save(texts.groupBy("text_id").agg(F.first("first_id").alias("first_id"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min(check).alias("least"), F.max(check).alias("most")), "classes")
+
+    texts = texts.withColumn("first_id", F.col("text_id"))
+    classes = known(texts)
+    # of n different texts about n * n / 2**65 share a text_id: none below a few thousand millions
+    clashing = [r["text_id"] for r in classes.where("least <> most").select("text_id").collect()]
+    if clashing:
+        digits = F.hex(F.expr("substring(sha, 9, 8)"))
+        second = F.conv(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]), 16, -10).cast("long")  # little-endian, as _text_id reads it
+        texts = texts.withColumn("text_id", F.when(F.col("text_id").isin(*clashing), second).otherwise(F.col("text_id")))
+        classes = known(texts)
+    survivors = _survivors(clashing)
+    dealt = first.where("block >= 0").select("block", "keys", "texts", "places").groupBy("block").applyInPandas(survivors, "text_id long, places binary")
+    sure = first.where("block = -1").select("block", "keys", "texts", "places").mapInPandas(lambda frames: (survivors(f.iloc[i : i + 1]) for f in frames for i in range(len(f))), "text_id long, places binary")
     places = dealt.unionByName(sure).groupBy("text_id").agg(F.collect_list("places").alias("places"))
-    wanted = classes.join(places, "text_id").select("doc_id", "text_id", "places")
+    wanted = classes.join(places.withColumnRenamed("text_id", "first_id"), "first_id").select("doc_id", "text_id", "places")
     near = save(docs.where("text is not null").join(wanted, "doc_id"), "texts")
     often = first.where("block = -1").select("keys").mapInPandas(_often, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > hot)
     keys = np.array([r["key"] for r in often.collect()], np.int64).view(np.uint64)

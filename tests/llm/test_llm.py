@@ -95,6 +95,27 @@ def test_suffix_dedup(docs, texts, empty):
     assert dedup_substrings(empty).count() == 0
 
 
+def test_half_digests_that_clash_join_nothing(docs, texts, monkeypatch):
+    """With two bits for half a digest, most texts share theirs with another one; the other halves tell them apart."""
+    from pyspark import cloudpickle
+
+    from streetworth.llm import _text, ngram_join
+
+    plain_sets = sorted(map(tuple, ngram_jaccard(docs).select("doc_id", "n_shingles", "component_id").collect()))
+    plain_bytes = sorted(map(tuple, dedup_substrings(docs).collect()))
+    whole, text_id = _text.digests, suffix_dedup._text_id
+    monkeypatch.setattr(_text, "digests", lambda x: (whole(x)[0] % 4, whole(x)[1]))
+    monkeypatch.setattr(suffix_dedup, "_text_id", lambda sha: sha[0] % 4 if len(sha) == 32 else text_id(sha))
+    for module in (_text, ngram_join, suffix_dedup):
+        cloudpickle.register_pickle_by_value(module)
+    try:
+        assert sorted(map(tuple, ngram_jaccard(docs).select("doc_id", "n_shingles", "component_id").collect())) == plain_sets
+        assert sorted(map(tuple, dedup_substrings(docs).collect())) == plain_bytes
+    finally:
+        for module in (_text, ngram_join, suffix_dedup):
+            cloudpickle.unregister_pickle_by_value(module)
+
+
 def test_loser_tree_merges_front_coded_runs():
     entries = [(bytes(rng.integers(97, 100, int(rng.integers(0, 9))).astype(np.uint8)), b"", i, 0) for i in range(300)]
     runs = [front_coded(sorted(entries[i::7])) for i in range(7)]
