@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -286,7 +287,7 @@ def search(qids: np.ndarray, q: np.ndarray, xids: np.ndarray, x: np.ndarray, tur
         cuts = list(range(0, len(x), rows))
         if len(x) > first and (reach == _LOWEST).any():
             cuts = [0, *range(first, len(x), rows)]
-        for c, e in zip(cuts, [*cuts[1:], len(x)], strict=True):
+        for c, e in pairwise([*cuts, len(x)]):
             cand, cids = x[c:e], xids[c:e]
             slack = 1 + 1e-9 * np.abs(own).max(initial=0) * np.abs(cand).max(initial=0) * own.shape[1]
             i, j, _ = surviving(turned, cand @ turn, reach.astype(float), ids[:, None] != cids[None, :], slack)
