@@ -8,7 +8,6 @@ rank r..s of a length go. Ranks are dealt out over the cluster, so that no task
 
 from __future__ import annotations
 
-import re
 import os
 import zlib
 from array import array
@@ -30,12 +29,24 @@ _MARK[[i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "'"]] = T
 _coders: dict[str, Coder] = {}
 
 
+#: Texts on which a vocabulary's tokens by word are held against those of the whole text.
+_PROBES = [
+    "The Quick brown fox's tail, isn't it? (Yes!) \"No...\" - e.g. 3.14, 1,000 and 50%; a_b c-d x@y.org http://a.b/c?d=e&f#g",
+    "two  spaces,\ttabs\n\nand lines\r\n  indented\x0b end  ",
+    "Größe ÉCOLE façade naïve ŒUVRE Łódź - ß's don't WE'LL they've I'D",
+    "CamelCase HTTPServer x2y 2nd v1.0.0-rc.1 #tag $5 <b>bold</b> {a: [1, 2]} a&&b||c !!! ??? ...",
+    "''quoted'' 'single' \"double\" `code` it''s o'clock 'tis",
+]
+
+
 class Coder:
     """Token ids of words, kept in a hash table of numpy arrays: keys are 64-bit hashes of words in lower case, values are slices of one array of ids.
 
     This vocabulary's tokens never cross white space, do not depend on case, and keep a letter and a run of marks behind it apart. So the ids of a text are
     those of its words one after the other, a word's trailing marks being a word of their own. Where that is not certain (signs beyond U+027F, other white
     space, a dotted capital I, what may be a special token), a text goes through the tokenizer whole. When the table is half full, it starts again.
+
+    Whether a vocabulary is of that kind is tried on _PROBES when it is loaded; where it is not, every text goes through the tokenizer whole.
     """
 
     def __init__(self, path: str, bits: int = 21):
@@ -45,6 +56,14 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.mask = np.uint64((1 << bits) - 1)
         self.clear()
+        self.by_word = True
+        raws = [p.encode() for p in _PROBES]
+        offsets = np.concatenate(([0], np.cumsum([len(r) for r in raws])))
+        got = self.encode(np.frombuffer(b"".join(raws), np.uint8), offsets)
+        self.by_word = all(x == self._whole(p) for x, p in zip(got, _PROBES, strict=True))
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def clear(self) -> None:
         size = int(self.mask) + 1
@@ -91,7 +110,7 @@ class Coder:
             self.clear()
         before = np.concatenate(([0], data[:-1])).astype(np.uint8)
         odd = (data >= 0xCA) | ((before == 0xC2) & ((data == 0x85) | (data == 0xA0))) | ((before == 0xC4) & (data == 0xB0)) | ((before == 60) & (data == 124))
-        strange = np.diff(np.concatenate(([0], np.cumsum(odd)))[offsets]) > 0
+        strange = np.diff(np.concatenate(([0], np.cumsum(odd)))[offsets]) > (0 if self.by_word else -1)
         low = np.where((before == 0xC3) & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), data + np.uint8(32), T.LOWER[data])
         starts, ends, _ = T.words(data, offsets)
         cut = ends.copy()
@@ -119,7 +138,7 @@ class Coder:
         cuts = (4 * total[firsts]).tolist()
         out = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         for i in np.flatnonzero(strange):
-            out[i] = np.array(self.tokenizer.encode(raw[offsets[i] : offsets[i + 1]].decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            out[i] = self._whole(raw[offsets[i] : offsets[i + 1]].decode())
         return out
 
 

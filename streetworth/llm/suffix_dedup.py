@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from streetworth.llm import _text as T
 from streetworth.llm._common import input_blocks, save
 
-_PLACE = 28  # bits of a position inside a slice; the other 36 are the gram's order
+_PLACE = 32  # bits of a position inside a slice (Spark's strings end below 2**31 bytes); the other 32 are the gram's order
 _OFTEN = 8
 
 
