@@ -166,9 +166,9 @@ class Index:
 
 
 def _best(found: list[tuple]) -> list[tuple]:
-    """Of matches (document, template, equal, words, start, end) that overlap in a document, the one with the larger share of its template, then the longer."""
+    """Of matches (row, template, equal, words, start, end) that overlap in a row, the one with more equal words, then the larger share of its template."""
     kept: list[tuple] = []
-    for m in sorted(set(found), key=lambda m: (str(m[0]), -m[2] / m[3], -m[2], m[1], m[4])):
+    for m in sorted(set(found), key=lambda m: (m[0], -m[2], -m[2] / m[3], m[1], m[4])):
         own = itertools.takewhile(lambda o: o[0] == m[0], reversed(kept))  # noqa: B023
         if not any(o[4] < m[5] and m[4] < o[5] for o in own):
             kept.append(m)
@@ -206,8 +206,8 @@ def _scan(shared, band: int, coverage: float, least: int):
                 for i in np.flatnonzero(equal >= max(coverage * len(template), min(least, len(template)))).tolist():
                     at, from_, to = int(offsets[doc[i]]), int(starts[begin_at[i] + first[i]]), int(ends[begin_at[i] + last[i] - 1])
                     chars = [int(((data[a:b] & 0xC0) != 0x80).sum()) for a, b in ((at, from_), (from_, to))]
-                    out.append((ids[doc[i]], index.names[t], int(equal[i]), len(template), chars[0], sum(chars)))
-            out = _best(out)
+                    out.append((int(doc[i]), index.names[t], int(equal[i]), len(template), chars[0], sum(chars)))
+            out = [(ids[m[0]], *m[1:]) for m in _best(out)]
             types = {"doc_id": pa.int64(), "license": pa.string(), "matched": pa.int64(), "words": pa.int64(), "start": pa.int64(), "end": pa.int64()}
             yield pa.record_batch({c: pa.array([o[i] for o in out], x) for i, (c, x) in enumerate(types.items())})
 
