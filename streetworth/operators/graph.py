@@ -13,6 +13,8 @@ def _save(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     path = f"{folder}/streetworth/graph-{uuid.uuid4().hex}"
@@ -20,11 +22,11 @@ def _save(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Weak components of edges(a, b): (id, component) with the smallest id reachable. Neighbours' minima, then a jump along the labels, until nothing changes."""
     both = _save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = _save(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
-    for _ in range(most_rounds):
+    while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = lower.select(F.col("id").alias("up"), F.col("component").alias("higher"))
@@ -33,14 +35,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         labels = moved.select("id", "component")
         if not changed:
             return labels
-    raise RuntimeError("components did not settle")
 
 
-def shortest_costs(arcs: DataFrame, sources: DataFrame, limit: float, most_rounds: int = 200) -> DataFrame:
+def shortest_costs(arcs: DataFrame, sources: DataFrame, limit: float) -> DataFrame:
     """Least cost from each source over directed arcs(u, v, cost >= 0), up to `limit`: (source, node, cost). Only nodes that got cheaper in a round go on in the next."""
     least = arcs.groupBy("u", "v").agg(F.min("cost").alias("cost"))
     known = front = _save(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")))
-    for _ in range(most_rounds):
+    while True:
         step = front.join(least.withColumnRenamed("cost", "more"), F.col("node") == F.col("u"))
         reached = step.groupBy("source", F.col("v").alias("node")).agg(F.min(F.col("cost") + F.col("more")).alias("cost")).where(F.col("cost") <= limit)
         old = known.withColumnRenamed("cost", "old")
@@ -48,4 +49,3 @@ def shortest_costs(arcs: DataFrame, sources: DataFrame, limit: float, most_round
         if not better.limit(1).count():
             return known
         known, front = _save(known.unionByName(better).groupBy("source", "node").agg(F.min("cost").alias("cost"))), better
-    raise RuntimeError("costs did not settle")

@@ -272,12 +272,6 @@ def route_users_dedup(spark: SparkSession, d: str) -> DataFrame:
     return on.join(X.ods(spark, d), "od").groupBy("candidate").agg(F.count("*").alias("ods"), F.round(F.sum("eligible"), 4).alias("users"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0 THEN 'closed' WHEN extract(hour FROM ts) BETWEEN 7 AND 18 THEN 'open' ELSE 'closed' END AS access FROM events""")
-def access_rules_open(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    return rows.select("event_id", "k", F.when(F.col("k") % 3 == 0, "closed").when(F.hour("ts").between(7, 18), "open").otherwise("closed").alias("access"))
-
-
 _ARCS = "arcs AS (SELECT s_nationkey AS u, n_nationkey AS v, 1e0 + (s_suppkey % 9) AS cost FROM supplier JOIN nation ON n_nationkey = (s_nationkey * 3 + s_suppkey) % 25 WHERE s_nationkey <> n_nationkey)"
 
 
