@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from streetworth.functions.columns import odds_response
+from streetworth.operators.graph import _save
 
 
 def path_savings(path_edges: DataFrame, edge_candidates: DataFrame) -> DataFrame:
@@ -38,6 +39,21 @@ def single_candidate_activity(savings: DataFrame, paths: DataFrame, ods: DataFra
     return joined.select("candidate", "od", "expected", "after", added.alias("addition"), (F.col("eligible") * (F.col("expected") - F.col("after")) / F.col("expected")).alias("improvement"))
 
 
+def carried(rows: DataFrame, order: list[Column], value: Column, name: str, how=F.sum, before: bool = False) -> DataFrame:
+    """rows with a running aggregate over all of them in an order: `how` of `value` up to the row, or up to the row before it.
+
+    Range partitions of the order are saved, each is aggregated, and what the partitions before give is carried into each, so that no task sees all rows; only one
+    number a partition meets in one window.
+    """
+    parts = _save(rows.withColumn("_v", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sums = parts.groupBy("_part").agg(how("_v").alias("_sum"))
+    sums = sums.withColumn("_carried", how("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
+    run = how("_v").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
+    both = F.array(F.col("_run"), F.col("_carried"))
+    total = F.when(F.col("_run").isNull() | F.col("_carried").isNull(), F.coalesce("_run", "_carried")).otherwise(F.array_max(both) if how is F.max else F.col("_run") + F.col("_carried"))
+    return parts.withColumn("_run", run).join(F.broadcast(sums), "_part").withColumn(name, total).drop("_v", "_part", "_run", "_carried")  # a line a partition
+
+
 def pareto(rows: DataFrame, cost: str, benefit: str, by: list[str] | None = None) -> DataFrame:
     """rows with `efficient`: the best benefit of its cost, and better than every cheaper row's. Rows of equal cost and benefit are all kept.
 
@@ -45,8 +61,10 @@ def pareto(rows: DataFrame, cost: str, benefit: str, by: list[str] | None = None
     """
     by = by or []
     best = rows.groupBy(*by, cost).agg(F.max(benefit).alias("_best"))
-    cheaper = Window.partitionBy(*by).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)
-    best = best.withColumn("_before", F.max("_best").over(cheaper))
+    if by:
+        best = best.withColumn("_before", F.max("_best").over(Window.partitionBy(*by).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)))
+    else:
+        best = carried(best, [F.col(cost)], F.col("_best"), "_before", F.max, before=True)
     joined = rows.join(best, [*by, cost])
     return joined.withColumn("efficient", (F.col(benefit) == F.col("_best")) & (F.col("_before").isNull() | (F.col(benefit) > F.col("_before")))).drop("_best", "_before")
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,29 +23,68 @@ def top_sum(rows: DataFrame, by: list[str], value: str, key: str, k: int) -> Dat
     return last.groupBy(*by).agg(F.sum(value).alias("top"))
 
 
+def inversions(x: np.ndarray) -> int:
+    """Pairs of positions in falling order, counted as runs of doubling length are merged."""
+    x, width, total = np.asarray(x), 1, 0
+    while width < len(x):
+        for a in range(0, len(x) - width, 2 * width):
+            left, right = x[a : a + width], x[a + width : a + 2 * width]
+            total += int((len(left) - np.searchsorted(left, right, "right")).sum())
+            x[a : a + 2 * width] = np.sort(x[a : a + 2 * width], kind="stable")
+        width *= 2
+    return total
+
+
 def agreement(ranked: DataFrame, case: str, key: str, rank: str, central: str, k: int) -> DataFrame:
-    """(case, jaccard, tau): overlap of the first k by `rank` and by `central`, and Kendall's tau by a self-join within the case. Ranks have no ties."""
+    """(case, jaccard, tau): overlap of the first k by `rank` and by `central`, and Kendall's tau. Ranks have no ties. A case is one task's group, as long as the list of
+    candidates; inversions are counted by merging, not by pairs."""
+    kind = ranked.schema[case].dataType.simpleString()
+
+    def tau(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = len(pdf)
+        value = 1 - 4 * inversions(pdf.sort_values(central)[rank].to_numpy().copy()) / (n * (n - 1)) if n > 1 else None
+        return pd.DataFrame({case: [pdf[case].iloc[0]], "tau": [value]})
+
     a = ranked.select(case, key, rank, central)
-    b = a.select(case, F.col(key).alias("_key"), F.col(rank).alias("_rank"), F.col(central).alias("_central"))
-    same = (F.col(rank) < F.col("_rank")) == (F.col(central) < F.col("_central"))
-    tau = a.join(b, case).where(F.col(key) < F.col("_key")).groupBy(case).agg(F.avg(F.when(same, 1.0).otherwise(-1.0)).alias("tau"))
     both = a.groupBy(case).agg(F.count_if((F.col(rank) <= k) & (F.col(central) <= k)).alias("_n"), F.count_if((F.col(rank) <= k) | (F.col(central) <= k)).alias("_m"))
-    return both.join(tau, case).select(case, (F.col("_n") / F.col("_m")).alias("jaccard"), "tau")
+    return both.join(a.groupBy(case).applyInPandas(tau, f"{case} {kind}, tau double"), case).select(case, (F.col("_n") / F.col("_m")).alias("jaccard"), "tau")
+
+
+def _skyline(more: list[str], less: list[str]):
+    """Of each partition's rows those that no other of them makes needless, held against what is kept so far, 1024 at a time."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for frame in frames:
+            for at in range(0, len(frame), 1024):
+                both = pd.concat([kept, frame.iloc[at : at + 1024]]) if kept is not None else frame.iloc[at : at + 1024]
+                x = both[more + less].to_numpy(float) * np.array([1.0] * len(more) + [-1.0] * len(less))
+                keep = np.ones(len(x), bool)
+                for i in np.argsort(-x.sum(1), kind="stable"):
+                    if keep[i]:
+                        keep &= ~((x[i] >= x).all(1) & (x[i] > x).any(1))
+                kept = both[keep]
+        if kept is not None:
+            yield kept
+
+    return run
 
 
 def pareto_many(rows: DataFrame, key: str, more: list[str], less: list[str]) -> DataFrame:
     """rows with `efficient`: false where another row is at least as good in every objective and better in one.
 
-    A theta join: meant for candidates, of which there are few beside the ledgers. For one cost and one benefit use `pareto`, which needs windows only.
+    Each partition first keeps its own efficient rows; whatever makes a row needless is, or is itself beaten by, one of these, so the theta join is between them
+    only. For one cost and one benefit use `pareto`, which needs windows only. Objectives are not null.
     """
-    other = rows.select(*(F.col(c).alias(f"_{c}") for c in [key, *more, *less]))
+    few = _save(rows.select(key, *more, *less).mapInPandas(_skyline(more, less), rows.select(key, *more, *less).schema))
+    other = few.select(*(F.col(c).alias(f"_{c}") for c in [*more, *less]))
     no_worse = F.lit(True)
     better = F.lit(False)
     for c in more:
         no_worse, better = no_worse & (F.col(f"_{c}") >= F.col(c)), better | (F.col(f"_{c}") > F.col(c))
     for c in less:
         no_worse, better = no_worse & (F.col(f"_{c}") <= F.col(c)), better | (F.col(f"_{c}") < F.col(c))
-    kept = rows.join(other, no_worse & better, "left_anti").select(key).withColumn("efficient", F.lit(True))
+    kept = few.join(other, no_worse & better, "left_anti").select(key).withColumn("efficient", F.lit(True))
     return rows.join(kept, key, "left").fillna(False, ["efficient"])
 
 

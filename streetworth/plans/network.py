@@ -160,8 +160,7 @@ def busiest_stops(spark: SparkSession, d: str) -> DataFrame:
     """Visits of each stop by mode, its platforms, and whether it is in the busiest tenth by bus."""
     e = F.col("event_type")
     stops = table(spark, d, "events").groupBy(F.col("user_id").alias("stop")).agg(F.count_if(e == "view").alias("bus"), F.count_if(e == "click").alias("rail"), F.count_if(e == "signup").alias("ferry"), F.count_distinct(F.get_json_object("props", "$.k").cast("long")).alias("platforms"))
-    rank = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("bus"), "stop"))
-    ranked = stops.withColumns({"rank": rank, "n": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    ranked = R.carried(stops, [F.desc("bus"), F.col("stop")], F.lit(1), "rank").crossJoin(stops.agg(F.count("*").alias("n")))  # one row
     return ranked.select("stop", "bus", "rail", "ferry", "platforms", (F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * 0.1))).alias("busiest"))
 
 
@@ -200,13 +199,14 @@ def flow_reconciliation(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("ods"), F.count_if(F.col("rebuilt").isNull()).alias("missing"), F.count_if(F.col("held").isNull()).alias("stale"), F.count_if(F.abs(F.col("held") - F.col("rebuilt")) > 1e-6 * F.col("held")).alias("differing"))
 
 
-@query("""WITH RECURSIVE links AS (SELECT DISTINCT 'c' || p_brand AS a, 'n' || s_nationkey AS b FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE (l_partkey + l_suppkey) % 97 = 0),
+@query("""WITH RECURSIVE links AS (SELECT 'c' || c_custkey AS a, 'n' || c_nationkey || ':' || CAST(floor(c_acctbal / 10) AS BIGINT) AS b FROM customer UNION SELECT 'c' || c_custkey, 's' || c_mktsegment || ':' || CAST(floor(c_acctbal / 5) AS BIGINT) FROM customer),
 both_ AS (SELECT a, b FROM links UNION SELECT b, a FROM links), reach AS (SELECT a AS x, a AS y FROM both_ UNION SELECT x, b FROM reach JOIN both_ ON y = a)
 SELECT substr(x, 2) AS candidate, min(y) AS "group" FROM reach WHERE x LIKE 'c%' GROUP BY 1""")
 def portfolio_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates that share an area, directly or through others: components of the graph of candidates and areas."""
-    met = table(spark, d, "lineitem").where("(l_partkey + l_suppkey) % 97 = 0").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-    links = met.select(F.concat(F.lit("c"), "p_brand").alias("a"), F.concat(F.lit("n"), "s_nationkey").alias("b")).distinct()
+    """Candidates that share an area, directly or through others: components of the graph of candidates and areas. Every customer is a candidate and touches two areas."""
+    band = lambda w: F.floor(F.col("c_acctbal") / w).cast("string")
+    areas = F.array(F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(":"), band(10)), F.concat(F.lit("s"), "c_mktsegment", F.lit(":"), band(5)))
+    links = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("a"), F.explode(areas).alias("b"))
     return G.components(links).where("id like 'c%'").select(F.substring("id", 2, 100).alias("candidate"), F.col("component").alias("group"))
 
 

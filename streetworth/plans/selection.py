@@ -55,7 +55,7 @@ pairs AS (SELECT a.draw, sum(CASE WHEN (a.rank < b.rank) = (a.first < b.first) T
 SELECT draw, round(n / (10e0 - n), 8) AS jaccard, round(tau, 8) AS kendall_tau FROM both_ JOIN pairs USING (draw)"""))
 def draw_agreement(spark: SparkSession, d: str) -> DataFrame:
     """For each draw, overlap of the first five with the central case's, and Kendall's tau over all candidates."""
-    central = X.projects(spark, d).select("candidate", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("users") / F.col("cost")), "candidate")).alias("first"))
+    central = R.carried(X.projects(spark, d), [F.desc(F.col("users") / F.col("cost")), F.col("candidate")], F.lit(1), "first").select("candidate", "first")
     ranked = _draws(spark, d).select("draw", "candidate", "rank").join(central, "candidate")
     return S.agreement(ranked, "draw", "candidate", "rank", "first", 5).select(F.col("draw").cast("long").alias("draw"), F.round("jaccard", 8).alias("jaccard"), F.round("tau", 8).alias("kendall_tau"))
 

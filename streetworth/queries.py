@@ -234,9 +234,9 @@ def preset_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_("projects", "SELECT candidate, round(spent, 2) AS spent FROM (SELECT candidate, sum(cost) OVER (ORDER BY users / cost DESC, candidate ROWS UNBOUNDED PRECEDING) AS spent, sum(cost) OVER () * 0.4e0 AS budget FROM projects) WHERE spent <= budget"))
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc(F.col("users") / F.col("cost")), "candidate").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = X.projects(spark, d).withColumns({"spent": F.sum("cost").over(order), "budget": F.sum("cost").over(Window.partitionBy(F.lit(0))) * 0.4})
-    return rows.where("spent <= budget").select("candidate", F.round("spent", 2).alias("spent"))
+    rows = X.projects(spark, d)
+    spent = R.carried(rows, [F.desc(F.col("users") / F.col("cost")), F.col("candidate")], F.col("cost"), "spent")
+    return spent.crossJoin(rows.agg((F.sum("cost") * 0.4).alias("budget"))).where("spent <= budget").select("candidate", F.round("spent", 2).alias("spent"))  # one row
 
 
 @query(with_("projects", """, y AS (SELECT candidate AS project, r.name AS "case", cost, users, km, rate, year FROM projects CROSS JOIN (VALUES ('low', 0.02e0), ('high', 0.08e0)) r(name, rate) CROSS JOIN (SELECT unnest(range(1, 41)) AS year)),
