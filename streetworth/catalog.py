@@ -3,5 +3,5 @@
 from __future__ import annotations
 
 from streetworth import queries  # noqa: F401
-from streetworth.plans import access, context, ledgers, markets, network, routing, selection, tags  # noqa: F401
+from streetworth.plans import access, audits, context, ledgers, markets, matching, network, routing, selection, tags  # noqa: F401
 from streetworth.registry import QUERIES, SQL  # noqa: F401
