@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _save(df: DataFrame) -> DataFrame:
-    spark: SparkSession = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or a new local one where that is unset and all runs on this machine (as in tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/streetworth/graph-{uuid.uuid4().hex}"
+    return folder
+
+
+def _save(df: DataFrame) -> DataFrame:
+    spark: SparkSession = df.sparkSession
+    path = f"{shared_dir(spark)}/streetworth/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

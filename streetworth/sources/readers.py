@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from streetworth.operators.graph import _save
+
 
 def read_csv_checked(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
     """CSV with a header, all columns strings; a byte order mark is dropped. Raises where a required column is missing."""
@@ -39,10 +41,12 @@ def read_features(spark: SparkSession, path: str, properties: str) -> DataFrame:
 
 
 def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: list[str]) -> DataFrame:
-    """Rows of one CSV member of ZIP archives, such as a transit feed: (archive, columns...), all strings, null where the member lacks a column.
+    """Rows of one CSV member of ZIP archives, such as a transit feed: (archive, columns...), all strings, null where the member lacks a column."""
+    return unzipped_csv(spark.read.format("binaryFile").load(path).select("path", "content"), member, columns)
 
-    One archive is one task's work; it is read in pieces of 50,000 rows.
-    """
+
+def unzipped_csv(files: DataFrame, member: str, columns: list[str]) -> DataFrame:
+    """The same for files(path, content). One archive is one task's work, whose memory follows the archive; its rows are read in pieces of 50,000."""
     schema = ", ".join(["archive string", *(f"`{c}` string" for c in columns)])
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,7 +59,7 @@ def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: list[s
                         for piece in pd.read_csv(file, dtype=str, encoding="utf-8-sig", chunksize=50_000, keep_default_na=False):
                             yield piece.reindex(columns=columns).astype(object).where(lambda p: p.notna(), None).assign(archive=name)[["archive", *columns]]
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, schema)
+    return files.select("path", "content").mapInPandas(rows, schema)
 
 
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
@@ -123,8 +127,27 @@ def counter_series(cells: DataFrame, header_row: int = 3) -> DataFrame:
 
 
 def require_count(rows: DataFrame, expected: int | None = None, least: int | None = None) -> DataFrame:
-    """rows, after checking their number; raises ValueError where it is not the expected one or below the least."""
+    """rows, after checking their number; raises ValueError where it is not the expected one or below the least. They are saved first, so that the plan runs once."""
+    rows = _save(rows)
     found = rows.count()
     if (expected is not None and found != expected) or (least is not None and found < least):
         raise ValueError(f"{found} rows; expected {expected if expected is not None else f'at least {least}'}")
     return rows
+
+
+def merged_pages(pages: DataFrame, key: str, expected: int) -> DataFrame:
+    """One row (key, pages, status) for each record of paged results pages(page, key, ...), and one of null key where the number of records is not the expected one.
+
+    A record that comes on two pages is repeated and not dropped: a source that shifts between pages must not pass.
+    """
+    each = pages.groupBy(key).agg(F.count("*").alias("pages")).select(key, "pages", F.when(F.col("pages") > 1, "repeated").otherwise("ok").alias("status"))
+    short = pages.agg(F.count_distinct(key).alias("pages")).where(F.col("pages") != expected).select(F.lit(None).cast(pages.schema[key].dataType).alias(key), "pages", F.lit("count_differs").alias("status"))
+    return each.unionByName(short)
+
+
+def whole_ways(nodes: DataFrame, stops: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """stops(way, place, node) of all ways that have a node of nodes(node, x, y) inside box(x1, y1, x2, y2), whole, with the nodes' coordinates (null where a node is not known)."""
+    x1, y1, x2, y2 = box
+    inside = nodes.where(F.col("x").between(x1, x2) & F.col("y").between(y1, y2)).select("node")
+    ways = stops.join(inside, "node", "left_semi").select("way").distinct()
+    return stops.join(ways, "way", "left_semi").join(nodes, "node", "left").select("way", "place", "node", "x", "y")
