@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from streetworth.operators import graph as G
 from streetworth.operators import investment as I
 from streetworth.operators import routing as R
+from streetworth.operators import search as W
 from streetworth.plans import fixtures as X
 from streetworth.plans.fixtures import table
 from streetworth.registry import query
@@ -76,16 +77,57 @@ def low_stress_connectivity(spark: SparkSession, d: str) -> DataFrame:
     return both.agg(F.count("*").alias("ods"), F.round(F.sum(F.when(F.col("calm") <= 1.25 * F.col("near"), F.col("amount")).otherwise(0.0)) / F.sum("amount"), 8).alias("connected"))
 
 
-@query()
+#: Ways of every journey under projects, turns and limits, label by label, none dropped but by the limits.
+_WAYS = f"""{_RING}, {_TRIPS}, turns AS (SELECT a.arc, b.arc AS next, CASE WHEN a.arc % 3 = b.arc % 3 THEN 2e0 ELSE 0e0 END AS delay, a.arc % 7 = 3 AND b.arc % 5 = 1 AS banned FROM ring a JOIN ring b ON a.v = b.u),
+line(source, arc, far, hops) AS (SELECT u, arc, length, 1 FROM ring UNION ALL SELECT source, arc, min(far), hops FROM (SELECT source, next AS arc, far + g.length AS far, hops + 1 AS hops FROM line l JOIN turns t ON t.arc = l.arc AND NOT banned JOIN ring g ON g.arc = next WHERE hops < 30) GROUP BY 1, 2, 4),
+legal AS (SELECT source, v AS goal, min(far) AS short FROM line JOIN ring USING (arc) GROUP BY 1, 2), back(goal, node, far, hops) AS (SELECT DISTINCT v, v, 0e0, 0 FROM ring UNION ALL SELECT goal, node, min(far), hops FROM (SELECT goal, g.u AS node, far + g.length AS far, hops + 1 AS hops FROM back JOIN ring g ON node = g.v WHERE hops < 25) GROUP BY 1, 2, 4),
+rest AS (SELECT goal, node, min(far) AS rest FROM back GROUP BY 1, 2), priced AS (SELECT arc, u, v, length, cost, CASE WHEN project IS NULL THEN 0 ELSE 1 << CAST(substr(project, 2) AS INTEGER) END AS bit FROM ring),
+walk AS (SELECT od, destination AS goal, 1.25e0 * short + 1e-9 AS most, g.v AS node, g.arc, g.bit AS mask, g.length, g.length / 4e0 AS time, g.cost, lpad(CAST(g.arc AS VARCHAR), 3, '0') AS route FROM trips JOIN legal ON source = origin AND goal = destination JOIN priced g ON g.u = origin JOIN rest r ON r.goal = destination AND r.node = g.v WHERE g.length + rest <= 1.25e0 * short + 1e-9
+  UNION ALL SELECT od, w.goal, most, g.v, g.arc, mask | g.bit, w.length + g.length, time + g.length / 4e0 + delay, w.cost + g.cost + delay, route || ',' || lpad(CAST(g.arc AS VARCHAR), 3, '0') FROM walk w JOIN turns t ON t.arc = w.arc AND NOT banned JOIN priced g ON g.arc = next JOIN rest r ON r.goal = w.goal AND r.node = g.v
+  WHERE w.node <> w.goal AND w.length + g.length + rest <= most AND list_sum([CASE WHEN (mask | g.bit) & (1 << i) > 0 THEN 1 + i ELSE 0 END FOR i IN range(6)]) <= 5),
+ways AS (SELECT od, mask, round(length, 6) AS length, round(time, 6) AS time, round(cost, 6) AS cost, min(route) AS route, list_sum([CASE WHEN mask & (1 << i) > 0 THEN 1 + i ELSE 0 END FOR i IN range(6)]) AS capital FROM walk WHERE node = goal AND list_sum([CASE WHEN mask & (1 << i) > 0 THEN 1 + i ELSE 0 END FOR i IN range(6)]) <= 5 GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def _search_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The ring with times and stress (an arc that a project opens is calm once it is built), and turns of which some are banned and some slow."""
+    own = F.col("project").isNotNull()
+    arcs = ring(spark, d).withColumns({"time": F.col("length") / 4, "stress": F.when(own, 4).otherwise(1), "treated": F.lit(1)})
+    a, b = F.col("arc"), F.col("next")
+    met = arcs.select("arc", F.col("v").alias("at")).join(arcs.select(F.col("arc").alias("next"), F.col("u").alias("at")), "at")
+    turns = met.select("arc", "next", F.when(a % 3 == b % 3, 2.0).otherwise(0.0).alias("delay"), F.lit(1).alias("stress"), F.lit(1).alias("treated"), F.lit(None).cast("string").alias("project"), ((a % 7 == 3) & (b % 5 == 1)).alias("banned"))
+    return arcs, trips(spark, d).select("od", "origin", "destination"), turns
+
+
+@query(f"""WITH RECURSIVE {_WAYS} SELECT od, coalesce(array_to_string([CASE WHEN mask & (1 << i) > 0 THEN 'p' || i END FOR i IN range(6)], ','), '') AS projects, length, time, cost, CAST(capital AS DOUBLE) AS capital FROM ways a
+WHERE NOT EXISTS (SELECT 1 FROM ways b WHERE b.od = a.od AND b.mask & a.mask = b.mask AND b.length <= a.length AND b.time <= a.time AND b.cost <= a.cost AND (b.mask <> a.mask OR b.length < a.length OR b.time < a.time OR b.cost < a.cost))""")
 def label_search(spark: SparkSession, d: str) -> DataFrame:
-    """Efficient ways of every journey over projects, length and cost."""
-    return _named(R.label_search(ring(spark, d), trips(spark, d), capital(spark), BUDGET, 1.25))
+    """Efficient ways of every journey over projects, length, time and cost."""
+    arcs, ods, turns = _search_inputs(spark, d)
+    found, _ = W.label_search(arcs, ods, capital(spark), BUDGET, detour=1.25, turns=turns)
+    return _named(found.select("od", "projects", *(F.round(c, 6).alias(c) for c in ("length", "time", "cost")), "capital"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_WAYS.replace("<= 5", "<= 100")}, p AS (SELECT price, od, cost + l * length AS score FROM ways CROSS JOIN (VALUES ('free', 0e0), ('short', 2e0)) v(price, l)) SELECT price, od, round(min(score), 6) AS score FROM p GROUP BY 1, 2""")
 def priced_route(spark: SparkSession, d: str) -> DataFrame:
-    ways = R.label_search(ring(spark, d), trips(spark, d), capital(spark), BUDGET, 1.25)
-    return _named(R.priced_routes(ways, [("free", 0.0, 0.0), ("short", 2.0, 0.0), ("thrifty", 0.0, 20.0), ("both", 2.0, 20.0)]))
+    """The least score of every journey at two prices of length. The budget binds nobody and capital is free, so that no label that goes could have won."""
+    arcs, ods, turns = _search_inputs(spark, d)
+    found = W.priced_routes(arcs, ods, capital(spark), 100.0, [("free", 0.0, 0.0), ("short", 2.0, 0.0)], detour=1.25, turns=turns)
+    return found.select("price", "od", F.round("score", 6).alias("score"))
+
+
+@query()
+def priced_programme_routes(spark: SparkSession, d: str) -> DataFrame:
+    """Routes at prices of length and capital, with one project already funded."""
+    arcs, ods, turns = _search_inputs(spark, d)
+    return _named(W.priced_routes(arcs, ods, capital(spark), BUDGET, [("thrifty", 0.0, 20.0), ("both", 2.0, 20.0)], funded=["p1"], detour=1.25, turns=turns))
+
+
+@query()
+def search_stops(spark: SparkSession, d: str) -> DataFrame:
+    """Why each journey's search ended under a small limit of labels."""
+    arcs, ods, turns = _search_inputs(spark, d)
+    _, status = W.label_search(arcs, ods, capital(spark), BUDGET, detour=1.25, turns=turns, most_labels=40)
+    return status.groupBy("stop").agg(F.count("*").alias("ods"), F.sum("labels").alias("labels"))
 
 
 @query()
