@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 ROAD_DEFAULTS = {"motorway": (100, 4, 30000), "arterial": (60, 4, 15000), "collector": (50, 2, 7000), "local": (40, 2, 3000), "service": (30, 1, 1000), "path": (20, 1, 0)}
 #: Highest speed, lanes and traffic of each stress level, by facility.
 STRESS_LIMITS = {"painted": ((2, 40, 2, 6000), (3, 50, 3, 15000)), "mixed_traffic": ((1, 30, 2, 2000), (2, 40, 2, 4000), (3, 50, 3, 12000))}
+#: Speed and traffic of a quiet street of level 1, speed of level 2.
+QUIET_LIMITS = ((30, 2000), (40, None))
+#: Metres of a walk that count whole and not at all; kilometres up to which distance does not matter and over which it decays after.
+WALK_M, DECAY_KM = (50, 250), (12, 5)
 #: Cost multiplier of stress levels 1 to 4.
 STRESS_COST = (1.0, 1.2, 1.6, 2.2)
 #: Alpha, distance, root of distance, squared distance, gradient, gradient's centre, distance * gradient, root * gradient.
@@ -36,7 +40,7 @@ def stress_level(road_class: Column, facility: Column, speed: Column, lanes: Col
             level = F.when((speed <= s) & (lanes <= k) & (traffic <= t), n).otherwise(level)
         return level
 
-    quiet = F.when((speed <= 30) & (traffic <= 2000), 1).when(speed <= 40, 2).otherwise(3)
+    quiet = F.when((speed <= QUIET_LIMITS[0][0]) & (traffic <= QUIET_LIMITS[0][1]), 1).when(speed <= QUIET_LIMITS[1][0], 2).otherwise(3)
     return F.when(road_class == "motorway", 4).when(facility.isin("protected", "shared"), 1).when(facility == "quiet_street", quiet).when(facility == "painted", limits("painted")).otherwise(limits("mixed_traffic"))
 
 
@@ -71,12 +75,12 @@ def censored_interval(count: Column, strategy: str = "midpoint", suppressed: int
 
 
 def walk_credit(distance_m: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least((250 - distance_m) / 200, F.lit(1.0)))
+    return F.greatest(F.lit(0.0), F.least((WALK_M[1] - distance_m) / (WALK_M[1] - WALK_M[0]), F.lit(1.0)))
 
 
 def distance_decay(distance_km: Column) -> Column:
     """1 up to 12 km, then exponential over 5 km."""
-    return F.when(distance_km <= 12, 1.0).otherwise(F.exp(-(distance_km - 12) / 5))
+    return F.when(distance_km <= DECAY_KM[0], 1.0).otherwise(F.exp(-(distance_km - DECAY_KM[0]) / DECAY_KM[1]))
 
 
 def inverse_uniform(u: Column, low: float, high: float) -> Column:

@@ -39,19 +39,27 @@ def single_candidate_activity(savings: DataFrame, paths: DataFrame, ods: DataFra
     return joined.select("candidate", "od", "expected", "after", added.alias("addition"), (F.col("eligible") * (F.col("expected") - F.col("after")) / F.col("expected")).alias("improvement"))
 
 
-def carried(rows: DataFrame, order: list[Column], value: Column, name: str, how=F.sum, before: bool = False) -> DataFrame:
-    """rows with a running aggregate over all of them in an order: `how` of `value` up to the row, or up to the row before it.
+def carried(rows: DataFrame, order: list[Column], value: Column, name: str, how=F.sum, before: bool = False, by: list[str] | None = None) -> DataFrame:
+    """rows with a running aggregate in an order over all of them, or over each group of `by`: `how` of `value` up to the row, or up to the row before it.
 
-    Range partitions of the order are saved, each is aggregated, and what the partitions before give is carried into each, so that no task sees all rows; only one
-    number a partition meets in one window.
+    Range partitions of (group, order) are saved, each is aggregated by group, and what the partitions before give is carried into each, so that neither all rows nor a hot group meet in one
+    task; only one number for a partition and group is summed in a window.
     """
-    parts = _save(rows.withColumn("_v", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    sums = parts.groupBy("_part").agg(how("_v").alias("_sum"))
-    sums = sums.withColumn("_carried", how("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_sum")
-    run = how("_v").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
-    both = F.array(F.col("_run"), F.col("_carried"))
-    total = F.when(F.col("_run").isNull() | F.col("_carried").isNull(), F.coalesce("_run", "_carried")).otherwise(F.array_max(both) if how is F.max else F.col("_run") + F.col("_carried"))
-    return parts.withColumn("_run", run).join(F.broadcast(sums), "_part").withColumn(name, total).drop("_v", "_part", "_run", "_carried")  # a line a partition
+    by = by or []
+    groups = [F.col(c) for c in by]
+    parts = _save(rows.withColumn("_c_value", value).repartitionByRange(*groups, *order).withColumn("_c_part", F.spark_partition_id()))
+    sums = parts.groupBy(*by, "_c_part").agg(how("_c_value").alias("_c_sum"))
+    sums = sums.withColumn("_c_before", how("_c_sum").over(Window.partitionBy(*by).orderBy("_c_part").rowsBetween(Window.unboundedPreceding, -1))).drop("_c_sum")
+    run = how("_c_value").over(Window.partitionBy("_c_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
+    both = F.array(F.col("_c_run"), F.col("_c_before"))
+    total = F.when(F.col("_c_run").isNull() | F.col("_c_before").isNull(), F.coalesce("_c_run", "_c_before")).otherwise(F.array_max(both) if how is F.max else F.col("_c_run") + F.col("_c_before"))
+    ran = parts.withColumn("_c_run", run)
+    if by:
+        own = [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in by]
+        joined = ran.join(sums.select(F.col("_c_part").alias("_c_p"), *(F.col(c).alias(f"_c_{c}") for c in by), "_c_before"), [F.col("_c_part") == F.col("_c_p"), *own], "left").drop("_c_p", *(f"_c_{c}" for c in by))
+    else:
+        joined = ran.join(F.broadcast(sums), "_c_part")  # a line a partition
+    return joined.withColumn(name, total).drop("_c_value", "_c_part", "_c_run", "_c_before")
 
 
 def pareto(rows: DataFrame, cost: str, benefit: str, by: list[str] | None = None) -> DataFrame:
@@ -79,18 +87,31 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed:
 
 
 def water_fill(rows: DataFrame, by: list[str], weight: str, cap: str, target: Column) -> DataFrame:
-    """Share min(target, all caps) of each group by weight, no row above its cap: `given` = min(cap, level * weight) in closed form by two windows.
+    """Share min(target, all caps) of each group by weight, no row above its cap: `given` = min(cap, level * weight). `target` is an aggregate of the group's rows.
 
-    Where all weights of a group are 0, they count as equal.
+    The level is found in closed form from running sums in the order of cap / weight, carried over range partitions, so a hot group is spread over tasks. Where all weights of a group are 0,
+    they count as equal.
     """
-    own = Window.partitionBy(*by)
-    w = F.when(F.sum(weight).over(own) > 0, F.col(weight)).otherwise(F.lit(1.0))
-    rows = rows.withColumn("_w", w).withColumn("_t", target)
-    order = own.orderBy(F.when(F.col("_w") > 0, F.col(cap) / F.col("_w")).otherwise(-1.0), cap).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    room = F.when(F.col("_w") > 0, F.col(cap)).otherwise(0.0)
-    level = (F.col("_t") - (F.sum(room).over(order) - room)) / (F.sum("_w").over(own) - F.sum("_w").over(order) + F.col("_w"))
-    rows = rows.withColumn("_level", F.when(F.col("_w") > 0, level))
-    return rows.withColumn("given", F.least(room, F.greatest(F.lit(0.0), F.max("_level").over(own)) * F.col("_w"))).drop("_w", "_t", "_level")
+    totals = rows.groupBy(*by).agg(F.sum(weight).alias("_all"), target.alias("_t"))
+    rows = with_sums(rows, totals, by)
+    w = F.when(F.col("_all") > 0, F.col(weight)).otherwise(F.lit(1.0))
+    rows = rows.withColumn("_w", w).withColumn("_room", F.when(F.col("_w") > 0, F.col(cap)).otherwise(0.0)).withColumn("_ratio", F.when(F.col("_w") > 0, F.col(cap) / F.col("_w")).otherwise(-1.0)).drop("_all")
+    order = [F.col("_ratio"), F.col(cap)]
+    rows = carried(carried(rows, order, F.col("_room"), "_before", by=by), order, F.col("_w"), "_w_before", by=by)
+    whole = rows.groupBy(*by).agg(F.sum("_w").alias("_w_all"))
+    rows = with_sums(rows, whole, by)
+    level = F.when(F.col("_w") > 0, (F.col("_t") - (F.col("_before") - F.col("_room"))) / (F.col("_w_all") - F.col("_w_before") + F.col("_w")))
+    rows = _save(rows.withColumn("_level", level))
+    rows = with_sums(rows, rows.groupBy(*by).agg(F.max("_level").alias("_top")), by)
+    return rows.withColumn("given", F.least("_room", F.greatest(F.lit(0.0), F.col("_top")) * F.col("_w"))).drop("_w", "_t", "_room", "_ratio", "_before", "_w_before", "_w_all", "_level", "_top")
+
+
+def with_sums(rows: DataFrame, sums: DataFrame, by: list[str]) -> DataFrame:
+    """rows with their group's sums; null keys meet, and without keys there is one row of sums."""
+    if not by:
+        return rows.crossJoin(F.broadcast(sums))
+    other = sums.select(*(F.col(c).alias(f"_on_{c}") for c in by), *(c for c in sums.columns if c not in by))
+    return rows.join(other, [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in by]).drop(*(f"_on_{c}" for c in by))
 
 
 def path_size(path_edges: DataFrame) -> DataFrame:

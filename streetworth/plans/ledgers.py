@@ -29,7 +29,7 @@ def scenario_ledger(units: DataFrame, target: float, eligible: float, observed:
     for name in C.PROPENSITY:
         rows = rows.withColumn(name, C.propensity(name, F.col("distance_km"), F.col("gradient")))
     rows = rows.withColumn("weight", F.col("room") * F.col("ebike") * C.distance_decay(F.col("distance_km")))
-    filled = fill_all(rows, "od", "weight", "room", max(0.0, target * eligible - observed))
+    filled = R.water_fill(rows, [], "weight", "room", F.lit(max(0.0, target * eligible - observed)))
     found = [("baseline", F.col("observed"), F.lit(None).cast("double"))]
     found += [(n, F.least("eligible", F.greatest("observed", F.col("eligible") * F.col(n))), F.col(n)) for n in C.PROPENSITY]
     found += [("target", F.col("observed") + F.col("given"), F.col("ebike"))]
@@ -37,20 +37,6 @@ def scenario_ledger(units: DataFrame, target: float, eligible: float, observed:
     return filled.select("od", "eligible", "observed", "status", each.alias("s")).select("s.scenario", "od", "eligible", "observed", "s.users", (F.col("s.users") - F.col("observed")).alias("additional"), "s.propensity", "status")
 
 
-def fill_all(rows: DataFrame, key: str, weight: str, cap: str, target: float) -> DataFrame:
-    """Share `target` over all rows by weight, none above its cap, in `given`: the water level is found from sums carried over range partitions, so no task holds all rows.
-    Where all weights are 0, they count as equal."""
-    totals = rows.agg(F.sum(weight).alias("w"), F.sum(cap).alias("c")).first()
-    w = F.lit(1.0) if not totals.w else F.col(weight)
-    rows = rows.withColumn("_w", w).withColumn("_room", F.when(F.col("_w") > 0, F.col(cap)).otherwise(0.0))
-    order = [F.when(F.col("_w") > 0, F.col(cap) / F.col("_w")).otherwise(-1.0), F.col(key)]
-    rows = _save(R.carried(R.carried(rows, order, F.col("_room"), "_before"), order, F.col("_w"), "_w_before"))
-    total = rows.agg(F.sum("_w")).first()[0] or 0.0
-    level = F.when(F.col("_w") > 0, (F.lit(target) - (F.col("_before") - F.col("_room"))) / (F.lit(total) - F.col("_w_before") + F.col("_w")))
-    top = rows.agg(F.max(level)).first()[0] or 0.0
-    return rows.withColumn("given", F.least(F.col("_room"), F.lit(max(0.0, top)) * F.col("_w"))).drop("_w", "_room", "_before", "_w_before")
-
-
 _UNITS = """units AS (SELECT o_orderkey AS od, coalesce(eligible, 10e0) AS eligible, coalesce(base, 0e0) AS observed, 1 + o_orderkey % 40 * 0.9e0 AS distance_km, o_orderkey % 7 * 0.5e0 AS gradient, CASE WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'assigned' END AS status FROM orders LEFT JOIN ods ON od = o_orderkey)"""
 _ETA = "{a} + {d1} * least(distance_km, 30e0) + 1.988e0 * sqrt(least(distance_km, 30e0)) + 0.008775e0 * pow(least(distance_km, 30e0), 2) + {d2} * pow(least(distance_km, 30e0), 2) + ({g} + 0.02006e0 * least(distance_km, 30e0) - 0.1234e0 * sqrt(least(distance_km, 30e0))) * (gradient - 0.78e0)"
 _PS = {"government": ("-4.018e0", "-0.6369e0", "0e0", "-0.2555e0"), "go_dutch": ("-1.468e0", "-0.71726e0", "0e0", "-0.2555e0"), "ebike": ("-1.468e0", "-0.66217e0", "-0.000295e0", "-0.0743e0")}

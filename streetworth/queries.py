@@ -147,7 +147,7 @@ l AS (SELECT *, CASE WHEN w > 0 THEN (t - (sum(room) OVER k - room)) / (sum(w) O
 SELECT zone, od, round(least(room, greatest(0e0, max(level) OVER (PARTITION BY zone)) * w), 6) AS given FROM l""")
 def target_allocation_waterfill(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").select(F.col("o_custkey").alias("zone"), F.col("o_orderkey").alias("od"), F.col("o_totalprice").alias("cap"), (F.col("o_orderkey") % 5).cast("double").alias("w"))
-    filled = R.water_fill(rows, ["zone"], "w", "cap", F.sum("cap").over(Window.partitionBy("zone")) * 0.4)
+    filled = R.water_fill(rows, ["zone"], "w", "cap", F.sum("cap") * 0.4)
     return filled.select("zone", "od", F.round("given", 6).alias("given"))
 
 
