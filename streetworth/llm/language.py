@@ -129,7 +129,8 @@ def _add(pdf: pd.DataFrame) -> pd.DataFrame:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """From docs(text, lang): the languages, log-probabilities [2**BITS, languages], and the languages allowed for each script [SCRIPTS, languages].
 
-    Partial counts are added for each partition and then for each language, so that what reaches the driver is one table for each language.
+    Partial counts are added for each partition and then for each language, so that what reaches the driver is one table for each language. Null languages are not read,
+    null texts add nothing, repeated rows count each; an empty table gives no languages, and then every text is unknown.
     """
     counts = docs.select("text", "lang").where("lang is not null").mapInArrow(_count, "lang string, counts binary")
     found = sorted(counts.groupBy("lang").applyInPandas(_add, "lang string, counts binary").collect())

@@ -71,7 +71,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs without text, with x, the vector of statistics of the whole text; a null text counts as empty."""
+    """docs without text, with x, the vector of statistics of the whole text; a null text counts as empty. Other columns stay (one named x is replaced); repeated rows
+    are measured each; an empty table gives no rows."""
+    docs = docs.drop("x")
     fields = [f for f in docs.schema.fields if f.name != "text"]
     return docs.mapInArrow(_measured, StructType(fields).add("x", ArrayType(DoubleType())))
 
@@ -94,7 +96,8 @@ def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(measured: DataFrame, to_pooled: float = 0.2, to_diagonal: float = 0.1):
     """The model from measured(x, label), label 0 or 1; other labels are not read.
 
-    The driver gets one row of 1 + d + d * d numbers for each label, summed by Spark. With one label only, or none, every score is that label, or 0.5.
+    The driver gets one row of 1 + d + d * d numbers for each label, summed by Spark. With one label only, or none, every score is that label, or 0.5. A row that is
+    repeated, or joined to several labels, counts as often.
     """
     d = len(NAMES)
     parts = measured.where("label in (0, 1)").select("x", "label").mapInArrow(_moments, "label int, at int, value array<double>")

@@ -35,6 +35,7 @@ def domain() -> Column:
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by the shrinkage discriminant, learnt from labelled documents of the other folds. Repeated rows are scored each and count each; a doc_id labelled twice counts twice; without labels of both kinds every score is the same. An empty table gives no rows."""
     measured = save(quality.measure(table(spark, sf_dir, "documents").select("doc_id", "text")), "statistics")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
     model = quality.train(measured.join(labels, "doc_id"))
@@ -43,6 +44,7 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learnt from the other folds' texts and non-null languages. Without a learnt language, null texts and texts without a letter: `und`, 0. Repeated rows are judged each. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = train(docs.where(fold("doc_id", 3) != 1))
     found = identify(docs.select("doc_id", "text"), model)
@@ -50,6 +52,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every whole text, as counts by kind, the digest of the base spans, and all spans. A null text is empty; repeated rows are searched each. An empty table gives no rows."""
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
 
@@ -61,31 +64,38 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of near vectors within each label (see near_vectors)."""
     return near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 2,048 tokens (see pack)."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for a corpus of the target weights, in at most two epochs (see mix)."""
     mixed = mix(table(spark, sf_dir, "documents"), domain(), MIX_WEIGHTS, share=MIX_SHARE, max_epochs=2)
     return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "taken")
 
 
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every 50th one (see top_k)."""
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts and statements in every whole text (see scan_licenses)."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every text that lie in a repeated string of 400 bytes, and what is left without them (see dedup_substrings)."""
     return dedup_substrings(table(spark, sf_dir, "documents"), length=400)
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by five-word shingles: each document's set size and component (see ngram_jaccard)."""
     return ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
