@@ -28,12 +28,18 @@ def _save(df: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Weak components of edges(a, b): (id, component) with the smallest id reachable. Neighbours' minima, then a jump along the labels, until nothing changes."""
+    """Weak components of edges(a, b): (id, component) with the smallest id reachable.
+
+    A round hands each node its neighbours' least label, hooks the node that names a label to the least label that any of its nodes met, and jumps along the labels; whole trees join at once,
+    so that long chains and rings need about log2 of their length in rounds. It ends when nothing changes.
+    """
     both = _save(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = _save(both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")))
+    labels = _save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     while True:
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("near"))
-        lower = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        met = _save(labels.join(near, F.col("id") == F.col("a")).select("id", "component", F.least("near", "component").alias("near")))
+        hooks = met.groupBy(F.col("component").alias("root")).agg(F.min("near").alias("hook"))
+        lower = met.join(hooks, F.col("id") == F.col("root"), "left").select("id", F.col("component").alias("old"), F.least("near", F.coalesce("hook", "near")).alias("component"))
         up = lower.select(F.col("id").alias("up"), F.col("component").alias("higher"))
         moved = _save(lower.join(up, F.col("component") == F.col("up")).select("id", "old", F.least("component", "higher").alias("component")))
         changed = moved.where("old <> component").limit(1).count()
