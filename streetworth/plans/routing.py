@@ -130,8 +130,24 @@ def search_stops(spark: SparkSession, d: str) -> DataFrame:
     return status.groupBy("stop").agg(F.count("*").alias("ods"), F.sum("labels").alias("labels"))
 
 
-@query()
+_BACK = "{0}(goal, node, far, hops) AS (SELECT DISTINCT v, v, 0e0, 0 FROM ring UNION ALL SELECT goal, node, min(far), hops FROM (SELECT goal, g.u AS node, far + g.{1} AS far, hops + 1 AS hops FROM {0} JOIN ring g ON node = g.v WHERE hops < 25) GROUP BY 1, 2, 4)"
+#: All simple routes of every journey within a quarter of the cheapest and of the shortest.
+_SIMPLE = f"""{_RING}, {_TRIPS}, {_BACK.format("by_cost", "cost")}, {_BACK.format("by_length", "length")}, left_ AS (SELECT goal, node, c, l FROM (SELECT goal, node, min(far) AS c FROM by_cost GROUP BY 1, 2) JOIN (SELECT goal, node, min(far) AS l FROM by_length GROUP BY 1, 2) USING (goal, node)),
+lim AS (SELECT od, origin, destination AS goal, c * 1.25e0 + 1e-9 AS most_cost, l * 1.25e0 + 1e-9 AS most_length FROM trips JOIN left_ ON goal = destination AND node = origin),
+walk AS (SELECT od, goal, most_cost, most_length, origin AS node, [origin] AS seen, CAST([] AS BIGINT[]) AS arcs, 0e0 AS length, 0e0 AS cost FROM lim UNION ALL SELECT od, w.goal, most_cost, most_length, g.v, list_append(seen, g.v), list_append(arcs, CAST(g.arc AS BIGINT)), w.length + g.length, w.cost + g.cost
+  FROM walk w JOIN ring g ON g.u = w.node JOIN left_ r ON r.goal = w.goal AND r.node = g.v WHERE w.node <> w.goal AND NOT list_contains(seen, g.v) AND w.length + g.length + l <= most_length AND w.cost + g.cost + c <= most_cost),
+inside AS (SELECT od, arcs, length, cost FROM walk WHERE node = goal), lone AS (SELECT od, goal, most_length / 1.25e0 AS short, origin AS node, CAST([] AS BIGINT[]) AS arcs, 0e0 AS length, 0e0 AS cost FROM lim WHERE od NOT IN (SELECT od FROM inside)
+  UNION ALL SELECT od, w.goal, short, g.v, list_append(arcs, CAST(g.arc AS BIGINT)), w.length + g.length, w.cost + g.cost FROM lone w JOIN ring g ON g.u = w.node JOIN left_ r ON r.goal = w.goal AND r.node = g.v WHERE w.node <> w.goal AND w.length + g.length + l <= short + 1e-6),
+alone AS (SELECT od, min_by({{'arcs': arcs, 'length': length, 'cost': cost}}, (length, arcs)) AS b FROM lone WHERE node = goal GROUP BY 1), routes AS (SELECT * FROM inside UNION ALL SELECT od, b.arcs, b.length, b.cost FROM alone), lengths AS (SELECT map_from_entries(list((CAST(arc AS BIGINT), length))) AS m FROM ring)"""
+_FIRST = "SELECT r.od, min_by({{'arcs': r.arcs, 'length': r.length, 'cost': r.cost}}, (r.cost, r.arcs)) AS b FROM routes r {joins}, lengths WHERE {tests} GROUP BY 1"
+_OTHER = "r.arcs <> {0}.b.arcs AND coalesce(list_sum(list_transform(list_intersect(r.arcs, {0}.b.arcs), lambda a: m[a])), 0e0) <= 0.95e0 * r.length + 1e-12"
+_PLAUSIBLE = f"""{_SIMPLE}, one AS ({_FIRST.format(joins="", tests="true")}), two AS ({_FIRST.format(joins="JOIN one USING (od)", tests=_OTHER.format("one"))}), three AS ({_FIRST.format(joins="JOIN one USING (od) JOIN two USING (od)", tests=_OTHER.format("one") + " AND " + _OTHER.format("two"))}),
+plausible AS (SELECT od, 1 AS option, b.arcs, b.length, b.cost FROM one UNION ALL SELECT od, 2, b.arcs, b.length, b.cost FROM two UNION ALL SELECT od, 3, b.arcs, b.length, b.cost FROM three)"""
+
+
+@query(f"WITH RECURSIVE {_PLAUSIBLE} SELECT od, option, array_to_string(arcs, ',') AS route, length, cost FROM plausible")
 def k_plausible_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Up to three ways of each journey, in order of cost."""
     return _named(R.plausible_paths(ring(spark, d), trips(spark, d), dearer=1.25, detour=1.25))
 
 
@@ -140,7 +156,8 @@ def penalty_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return _named(R.penalised_paths(ring(spark, d), trips(spark, d), repeats=3))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PLAUSIBLE}, e AS (SELECT od, option, p.cost, unnest(arcs) AS arc FROM plausible p), n AS (SELECT e.*, g.length, count(*) OVER (PARTITION BY od, e.arc) AS n FROM e JOIN ring g USING (arc)), s AS (SELECT od, option, any_value(cost) AS cost, greatest(1e-12, least(1e0, sum(length / n) / sum(length))) AS size FROM n GROUP BY 1, 2),
+u AS (SELECT *, -0.002e0 * cost + ln(size) AS u FROM s), w AS (SELECT *, exp(u - max(u) OVER (PARTITION BY od)) AS w FROM u), p AS (SELECT *, w / sum(w) OVER (PARTITION BY od) AS p FROM w) SELECT arc, round(sum(amount * p), 6) AS flow FROM p JOIN e USING (od, option) JOIN trips USING (od) GROUP BY 1""")
 def assign_demand_edge_flow(spark: SparkSession, d: str) -> DataFrame:
     arcs, ods = ring(spark, d), trips(spark, d)
     paths = G._save(R.plausible_paths(arcs, ods, dearer=1.25, detour=1.25))
