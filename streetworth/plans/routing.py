@@ -196,13 +196,25 @@ def investment_exact(spark: SparkSession, d: str) -> DataFrame:
     return I.exact_investment(*_columns(spark, d), 20.0)
 
 
-@query()
+#: The best next option from every set of projects built so far (a number of nine bits), and the walk along them.
+_GREEDY = f"""{_COLUMNS}, least AS (SELECT od, list(need ORDER BY need) AS sig FROM needs n WHERE NOT EXISTS (SELECT 1 FROM needs o WHERE o.od = n.od AND o.need <> n.need AND o.need & n.need = o.need) GROUP BY 1), sigs AS (SELECT sig, sum(weight) AS weight FROM least JOIN weights USING (od) GROUP BY 1),
+costs AS (SELECT m AS mask, CAST(list_sum([CASE WHEN m & (1 << i) > 0 THEN 2e0 + i * 5 % 7 ELSE 0e0 END FOR i IN range(9)]) AS DOUBLE) AS cost, list_filter([CASE WHEN m & (1 << i) > 0 THEN 'p' || i END FOR i IN range(9)], lambda x: x IS NOT NULL) AS names FROM range(512) t(m)),
+unserved AS (SELECT mask, sig, weight FROM costs, sigs WHERE cost <= 20 AND len(list_filter(sig, lambda n: n & mask = n)) = 0), options AS (SELECT mask, 1 << i AS opt FROM costs, range(9) t(i) WHERE mask & (1 << i) = 0 {{packages}}),
+gains AS (SELECT o.mask, opt, sum(weight) AS gain FROM options o JOIN unserved u ON u.mask = o.mask WHERE len(list_filter(sig, lambda n: n & (o.mask | opt) = n)) > 0 GROUP BY 1, 2),
+best AS (SELECT g.mask, opt, gain, c.cost AS cost, c.names AS names FROM gains g JOIN costs c ON c.mask = opt JOIN costs b ON b.mask = g.mask WHERE b.cost + c.cost <= 20 AND gain > 1e-9 QUALIFY row_number() OVER (PARTITION BY g.mask ORDER BY gain / c.cost DESC, gain DESC, c.cost, c.names DESC) = 1),
+walk(step, mask, projects, spent, gain, total) AS (SELECT 0, CAST(0 AS BIGINT), '', 0e0, 0e0, 0e0 UNION ALL SELECT step + 1, w.mask | opt, array_to_string(names, ','), spent + cost, CAST(b.gain AS DOUBLE), total + b.gain FROM walk w JOIN best b USING (mask))
+SELECT step, projects, spent, gain, total FROM walk WHERE step > 0"""
+
+
+@query("WITH RECURSIVE " + _GREEDY.format(packages=""))
 def investment_greedy(spark: SparkSession, d: str) -> DataFrame:
+    """Projects in the order of what each next one newly serves for its cost."""
     return I.greedy_investment(*_columns(spark, d), 20.0)
 
 
-@query()
+@query("WITH RECURSIVE " + _GREEDY.format(packages="UNION SELECT mask, unnest(list_transform(sig, lambda n: n & ~mask)) FROM unserved"))
 def investment_greedy_packages(spark: SparkSession, d: str) -> DataFrame:
+    """The same, where what a route still lacks may be built at once."""
     return I.greedy_investment(*_columns(spark, d), 20.0, packages=True)
 
 
