@@ -45,7 +45,10 @@ def chain_split(spark: SparkSession, d: str) -> DataFrame:
     return N.split_by_length(rows, "way", "place", "length", 60.0).groupBy("way", "part").agg(F.count("*").alias("edges"), F.sum("length").alias("length"))
 
 
-@query()
+@query("WITH RECURSIVE " + with_("streets", f""", {_STRESS}, e AS (SELECT edge AS id, edge * 7 % 997 AS u, edge * 13 % 997 AS v FROM levels WHERE lts > 2 AND facility NOT IN ('protected', 'shared', 'quiet_street') AND edge * 7 % 997 <> edge * 13 % 997), ends AS (SELECT id, u AS node FROM e UNION ALL SELECT id, v FROM e),
+sizes AS (SELECT node, count(*) AS degree, min(id) AS a, max(id) AS b FROM ends GROUP BY 1), links AS (SELECT a, b FROM sizes WHERE degree = 2 AND a <> b UNION SELECT b, a FROM sizes WHERE degree = 2 AND a <> b), reach AS (SELECT a AS x, a AS y FROM links UNION SELECT x, b FROM reach JOIN links ON y = a), comp AS (SELECT x AS id, min(y) AS chain FROM reach GROUP BY 1),
+named AS (SELECT e.id, coalesce(chain, e.id) AS chain FROM e LEFT JOIN comp USING (id)), outer_ AS (SELECT chain, count(DISTINCT node) AS tips, count(*) AS touches, max(id) AS last, count(DISTINCT id) AS n FROM ends JOIN sizes USING (node) JOIN named USING (id) WHERE degree <> 2 GROUP BY 1),
+cut AS (SELECT id, CASE WHEN tips = 1 AND touches = 2 AND n = 2 AND id = last THEN id ELSE chain END AS chain, tips IS NULL AS closed FROM named LEFT JOIN outer_ USING (chain)) SELECT id, min(id) OVER (PARTITION BY chain) AS chain, closed FROM cut""").removeprefix("WITH "))
 def gap_chains(spark: SparkSession, d: str) -> DataFrame:
     """Chains of stressful parts, each part an edge between two of as many nodes as half the parts."""
     gaps = _levels(spark, d).where("lts > 2 and facility not in ('protected', 'shared', 'quiet_street')")

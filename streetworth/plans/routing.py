@@ -218,7 +218,18 @@ def investment_greedy_packages(spark: SparkSession, d: str) -> DataFrame:
     return I.greedy_investment(*_columns(spark, d), 20.0, packages=True)
 
 
-@query()
+def _greedy_cover_sql(k: int) -> str:
+    """k steps written out: what is covered and what is too close after each."""
+    parts = ["a AS (SELECT c_custkey AS a, (c_custkey * 7919 % 10007)::DOUBLE AS ax, (c_custkey * 104729 % 10009)::DOUBLE AS ay, 1e0 + c_custkey % 5 AS weight FROM customer), b AS (SELECT s_suppkey AS b, (s_suppkey * 7919 % 10007)::DOUBLE AS bx, (s_suppkey * 104729 % 10009)::DOUBLE AS by_ FROM supplier)",
+             "p0 AS (SELECT a, b, weight FROM a, b WHERE sqrt(pow(ax - bx, 2) + pow(ay - by_, 2)) <= 1500), b0 AS (SELECT * FROM b)"]
+    for i in range(1, k + 1):
+        parts.append(f"s{i} AS (SELECT {i} AS step, b, sum(weight) AS gain FROM p{i - 1} JOIN b{i - 1} USING (b) GROUP BY b ORDER BY gain DESC, b LIMIT 1)")
+        parts.append(f"p{i} AS (SELECT * FROM p{i - 1} WHERE a NOT IN (SELECT a FROM p{i - 1} JOIN s{i} USING (b))), b{i} AS (SELECT o.* FROM b{i - 1} o, s{i} JOIN b c ON c.b = s{i}.b WHERE o.b <> c.b AND sqrt(pow(o.bx - c.bx, 2) + pow(o.by_ - c.by_, 2)) >= 1000)")
+    steps = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(1, k + 1))
+    return f"WITH {', '.join(parts)} SELECT CAST(step AS INTEGER) AS step, b AS site, gain, sum(gain) OVER (ORDER BY step) AS total FROM ({steps})"
+
+
+@query(_greedy_cover_sql(6))
 def facility_cover_greedy(spark: SparkSession, d: str) -> DataFrame:
     demand = X.points(spark, d, "customer", "c_custkey").toDF("a", "ax", "ay").withColumn("weight", 1.0 + F.col("a") % 5)
     return I.greedy_cover(X.points(spark, d, "supplier", "s_suppkey").toDF("b", "bx", "by"), demand, 6, 1500.0, 1000.0)
