@@ -112,9 +112,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
+def _fill_sql(level: str, parents: str, budget: str, source: str, weight: str) -> str:
+    """One level of the tree: room, weight, and what the water level gives each node."""
+    by = f"PARTITION BY {parents}" if parents else ""
+    columns = f"{parents}, {level}" if parents else level
+    order = f"({by} ORDER BY CASE WHEN w > 0 THEN room / w ELSE -1e0 END, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""w_{level} AS (SELECT {columns}, {budget} AS budget, {weight} AS w, CASE WHEN {weight} > 0 THEN room ELSE 0 END AS room FROM {source}),
+l_{level} AS (SELECT *, CASE WHEN w > 0 THEN (budget - (sum(room) OVER {order} - room)) / (sum(w) OVER ({by}) - sum(w) OVER {order} + w) END AS level FROM w_{level}),
+g_{level} AS (SELECT {columns}, least(CAST(room AS DOUBLE), coalesce(max(level) OVER ({by}), 0e0) * w) AS given FROM l_{level})"""
+
+
+def _weight_sql(level: str) -> str:
+    return "CASE " + "".join(f"WHEN {level} = '{k}' THEN {v}e0 " for k, v in MIX_WEIGHTS.get(level, {}).items()) + "ELSE 1e0 END" if MIX_WEIGHTS.get(level) else "1e0"
+
+
+_MIXING = f"""WITH d AS (SELECT doc_id, lang AS own_lang, source AS own_source, coalesce('domain' || CAST(TRY_CAST(right(source, 1) AS INTEGER) % 4 AS VARCHAR), '?') AS domain, coalesce(lang, '?') AS lang, coalesce(source, '?') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n FROM documents),
+t AS (SELECT * FROM d WHERE n > 0), leaves AS (SELECT domain, lang, source, sum(n) AS tokens, sum(n) * 2 AS room FROM t GROUP BY 1, 2, 3), langs AS (SELECT domain, lang, sum(room) AS room FROM leaves GROUP BY 1, 2), domains AS (SELECT domain, sum(room) AS room FROM langs GROUP BY 1), total AS (SELECT sum(tokens) AS tokens FROM leaves),
+{_fill_sql("domain", "", f"tokens * {MIX_SHARE}e0", "domains, total", _weight_sql("domain"))}, in_lang AS (SELECT l.*, given FROM langs l JOIN g_domain USING (domain)), {_fill_sql("lang", "domain", "given", "in_lang", _weight_sql("lang"))},
+in_source AS (SELECT l.*, given FROM leaves l JOIN g_lang USING (domain, lang)), {_fill_sql("source", "domain, lang", "given", "in_source", _weight_sql("source"))},
+plan AS (SELECT domain, lang, source, CAST(floor(given) AS BIGINT) AS given, tokens FROM g_source JOIN leaves USING (domain, lang, source)), p AS (SELECT *, CAST(given // tokens AS BIGINT) AS whole, CAST(given % tokens AS BIGINT) AS rest FROM plan WHERE given > 0),
+r AS (SELECT t.*, whole, rest, sum(n) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '17', CAST(whole AS VARCHAR), CAST(doc_id AS VARCHAR))), n) - n AS before FROM t JOIN p USING (domain, lang, source)),
+e AS (SELECT *, unnest(range(whole + 1)) AS epoch FROM r), k AS (SELECT *, CASE WHEN epoch < whole THEN n ELSE least(n, greatest(0, rest - before)) END AS taken FROM e)
+SELECT doc_id, domain, own_lang AS lang, own_source AS source, CAST(epoch AS INTEGER) AS epoch, CAST(n AS BIGINT) AS n_tokens, CAST(taken AS BIGINT) AS taken FROM k WHERE taken > 0"""
+
 SQL: dict[str, str] = {
     "op7_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256e0 * x::DOUBLE)) AS w FROM embeddings WHERE embedding IS NOT NULL),
 s AS (SELECT q.vec_id AS query_id, x.vec_id, CAST(list_inner_product(q.w, x.w) AS BIGINT) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op4_near_vectors": """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93e0), reach AS (SELECT a AS x, a AS y FROM links UNION SELECT x, b FROM reach JOIN links ON y = a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY 1), c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1) SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(c, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.x = vec_id""",
+    "op6_mixing": _MIXING,
+    "op10_ngram_jaccard": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w), n AS (SELECT doc_id, len(s) AS n FROM s), e AS (SELECT doc_id, unnest(s) AS g FROM s),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2), links AS (SELECT a, b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+reach AS (SELECT a AS x, a AS y FROM links UNION SELECT x, b FROM reach JOIN links ON y = a), c AS (SELECT x, min(y) AS c FROM reach GROUP BY 1) SELECT doc_id, n AS n_shingles, coalesce(c, doc_id) AS component_id FROM n LEFT JOIN c ON x = doc_id""",
+    "op9_suffix_dedup": """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents), c AS (SELECT doc_id, n, s, substr(h, 2 * s + 1, 2798) AS part FROM h, unnest(range(0, greatest(n - 399, 0), 1000)) t(s)),
+w AS (SELECT doc_id, s + i AS pos, md5(substr(part, 2 * i + 1, 800)) AS k FROM c, unnest(range(0, least(1000, n - 399 - s))) u(i)), hit AS (SELECT doc_id, pos FROM w JOIN (SELECT k FROM w GROUP BY 1 HAVING count(*) > 1) USING (k)),
+b AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 400 THEN 1 ELSE 0 END AS new FROM hit), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b), spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 400 AS z FROM g GROUP BY doc_id, run),
+o AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans), cut AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM o JOIN h USING (doc_id) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)""",
 }
