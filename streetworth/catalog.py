@@ -3,5 +3,5 @@
 from __future__ import annotations
 
 from streetworth import queries  # noqa: F401
-from streetworth.plans import access, audits, context, exchange, ledgers, lists, markets, matching, network, routing, selection, siting, tags  # noqa: F401
+from streetworth.plans import access, audits, context, exchange, layers, ledgers, lists, markets, matching, network, routing, selection, siting, tags  # noqa: F401
 from streetworth.registry import QUERIES, SQL  # noqa: F401

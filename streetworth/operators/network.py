@@ -131,3 +131,12 @@ def apply_treatments(edges: DataFrame, treatments: DataFrame) -> DataFrame:
     clash = F.raise_error(F.concat(F.lit("conflicting treatments on edge "), F.col("edge").cast("string"))).cast("string")
     put = F.when(F.col("_new") != F.col("_other"), clash).otherwise(F.coalesce("_new", "facility"))
     return edges.join(one, "edge", "left").withColumn("facility", put).drop("_new", "_other")
+
+
+def chain_lines(edges: DataFrame) -> DataFrame:
+    """(chain, line): edges(chain, place, coordinates array<struct<x, y>>, reversed) end to end in their order, turned round where they lie the other way, without the joints that two share.
+    A chain's coordinates are one row, as a line is."""
+    way = F.when(F.col("reversed"), F.reverse("coordinates")).otherwise(F.col("coordinates"))
+    packed = edges.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("place", way.alias("c")))).alias("parts"))
+    points = F.flatten(F.transform("parts", lambda p: p["c"]))
+    return packed.select("chain", points.alias("points")).select("chain", F.filter("points", lambda p, i: (i == 0) | (p != F.get(F.col("points"), i - 1))).alias("line"))

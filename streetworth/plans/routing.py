@@ -151,6 +151,15 @@ def k_plausible_paths(spark: SparkSession, d: str) -> DataFrame:
     return _named(R.plausible_paths(ring(spark, d), trips(spark, d), dearer=1.25, detour=1.25))
 
 
+@query(f"""WITH RECURSIVE {_RING}, {_TRIPS}, {_BACK.format("by_length", "length")}, left_ AS (SELECT goal, node, min(far) AS l FROM by_length GROUP BY 1, 2), lone AS (SELECT od, destination AS goal, l AS short, origin AS node, CAST([] AS BIGINT[]) AS arcs, 0e0 AS length FROM trips JOIN left_ ON goal = destination AND node = origin
+UNION ALL SELECT od, w.goal, short, g.v, list_append(arcs, CAST(g.arc AS BIGINT)), w.length + g.length FROM lone w JOIN ring g ON g.u = w.node JOIN left_ r ON r.goal = w.goal AND r.node = g.v WHERE w.node <> w.goal AND w.length + g.length + l <= short + 1e-6)
+SELECT od, array_to_string(min_by(arcs, (round(length, 6), arcs)), ',') AS route, round(min(length), 6) AS length FROM lone WHERE node = goal GROUP BY 1""")
+def corridors_between_terminals(spark: SparkSession, d: str) -> DataFrame:
+    """The shortest physical way between two terminals, of equal ones the smallest, as a corridor of exact arcs."""
+    found = R.least_routes(ring(spark, d), trips(spark, d).select("od", "origin", "destination"), "length")
+    return found.select("od", F.array_join("route", ",").alias("route"), F.round("total", 6).alias("length"))
+
+
 @query()
 def penalty_alternatives(spark: SparkSession, d: str) -> DataFrame:
     return _named(R.penalised_paths(ring(spark, d), trips(spark, d), repeats=3))
@@ -196,6 +205,14 @@ def investment_exact(spark: SparkSession, d: str) -> DataFrame:
     return I.exact_investment(*_columns(spark, d), 20.0)
 
 
+@query(f"""WITH {_COLUMNS}, sets AS (SELECT m AS mask, CAST(list_sum([CASE WHEN m & (1 << i) > 0 THEN 2e0 + i * 5 % 7 ELSE 0e0 END for i in range(9)]) AS DOUBLE) AS cost, coalesce(array_to_string([CASE WHEN m & (1 << i) > 0 THEN 'p' || i END for i in range(9)], ','), '') AS projects FROM range(512) t(m)),
+served AS (SELECT DISTINCT mask, od FROM sets JOIN needs ON mask & need = need WHERE cost <= 20), sums AS (SELECT mask, sum(weight) AS weight, count(*) AS ods FROM served JOIN weights USING (od) GROUP BY 1)
+SELECT CAST(budget AS DOUBLE) AS budget, projects, cost, coalesce(weight, 0e0) AS weight, coalesce(ods, 0) AS ods FROM sets LEFT JOIN sums USING (mask) JOIN (VALUES (8), (14), (20)) v(budget) ON cost <= budget QUALIFY row_number() OVER (PARTITION BY budget ORDER BY coalesce(weight, 0e0) DESC, cost, projects) = 1""")
+def budget_comparison(spark: SparkSession, d: str) -> DataFrame:
+    """The best set of projects at three budgets."""
+    return I.budget_comparison(*_columns(spark, d), [8.0, 14.0, 20.0])
+
+
 #: The best next option from every set of projects built so far (a number of nine bits), and the walk along them.
 _GREEDY = f"""{_COLUMNS}, least AS (SELECT od, list(need ORDER BY need) AS sig FROM needs n WHERE NOT EXISTS (SELECT 1 FROM needs o WHERE o.od = n.od AND o.need <> n.need AND o.need & n.need = o.need) GROUP BY 1), sigs AS (SELECT sig, sum(weight) AS weight FROM least JOIN weights USING (od) GROUP BY 1),
 costs AS (SELECT m AS mask, CAST(list_sum([CASE WHEN m & (1 << i) > 0 THEN 2e0 + i * 5 % 7 ELSE 0e0 END FOR i IN range(9)]) AS DOUBLE) AS cost, list_filter([CASE WHEN m & (1 << i) > 0 THEN 'p' || i END FOR i IN range(9)], lambda x: x IS NOT NULL) AS names FROM range(512) t(m)),
