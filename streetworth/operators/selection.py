@@ -119,7 +119,7 @@ def greedy_sequence(savings: DataFrame, paths: DataFrame, ods: DataFrame, projec
     budget *= share
     savings = _save(savings.where("saving > 0"))
     expected = paths.groupBy("od").agg(F.sum(F.col("probability") * F.col("cost")).alias("expected"))
-    weights = _save(paths.select("od", "path", F.col("probability").alias("weight")))
+    weights = _save(paths.select("od", "path", "probability", F.col("probability").alias("weight")))
     pairs = _save(expected.join(ods, "od").withColumns({"mass": F.lit(1.0), "added": F.lit(0.0)}))
     steps: list[tuple[int, str, float, float, float]] = []
     total = 0.0
@@ -137,9 +137,9 @@ def greedy_sequence(savings: DataFrame, paths: DataFrame, ods: DataFrame, projec
         total, budget = total + best.marginal, budget - best.cost
         steps.append((len(steps) + 1, best.candidate, best.cost, best.marginal, total))
         own = savings.where(F.col("candidate") == best.candidate).select("od", "path", "saving")
-        raised = weights.join(own, ["od", "path"], "left").select("od", "path", (F.col("weight") * F.exp(theta * F.coalesce("saving", F.lit(0.0)))).alias("weight"))
+        raised = weights.join(own, ["od", "path"], "left").select("od", "path", "probability", (F.col("weight") * F.exp(theta * F.coalesce("saving", F.lit(0.0)))).alias("weight"))
         weights = _save(raised)
-        mass = weights.groupBy("od").agg(F.sum("weight").alias("mass"))
+        mass = weights.groupBy("od").agg((1 + F.sum(F.col("weight") - F.col("probability"))).alias("mass"))  # exactly 1 where nothing is saved
         state = pairs.drop("mass", "added").join(mass, "od")
         cost = F.col("expected") - F.log("mass") / theta
         pairs = _save(state.withColumn("added", odds_response(F.col("eligible"), F.col("base"), F.col("expected"), cost, elasticity)))

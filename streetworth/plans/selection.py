@@ -10,7 +10,7 @@ from streetworth.operators import relational as R
 from streetworth.operators import selection as S
 from streetworth.plans import fixtures as X
 from streetworth.plans.fixtures import table, with_
-from streetworth.queries import _ACTIVITY, _DRAWS, _PROBABILITY, _activity
+from streetworth.queries import _ACTIVITY, _DRAWS, _PROBABILITY, _SAVINGS, _activity
 from streetworth.registry import query
 
 
@@ -140,7 +140,25 @@ def latin_hypercube(spark: SparkSession, d: str) -> DataFrame:
     return drawn.select("parameter", "draw", F.round(value, 9).alias("value"))
 
 
-@query()
+_ADDED = "CASE WHEN {after} >= expected THEN 0e0 ELSE greatest(0e0, least(eligible * (1 / (1 + exp(-(ln(s / (1 - s)) + 0.6e0 * ln(expected / ({after}))))) - base / eligible), eligible - base)) END"
+
+
+def _build_sql(steps: int) -> str:
+    """A build order written out step by step; steps that find nothing more to build are empty."""
+    parts = [f"{_PROBABILITY}, {_SAVINGS}", "saved AS MATERIALIZED (SELECT * FROM savings WHERE saving > 0)", "w0 AS MATERIALIZED (SELECT od, path, probability AS p, probability AS weight FROM probs)", "c AS (SELECT od, sum(probability * cost) AS expected FROM probs GROUP BY 1)",
+             "pair AS MATERIALIZED (SELECT od, expected, eligible, base, greatest(1e-5, least(base / eligible, 1 - 1e-5)) AS s FROM c JOIN ods USING (od))", "st0 AS MATERIALIZED (SELECT *, 1e0 AS mass, 0e0 AS added FROM pair)", "built0 AS (SELECT '' AS candidate, 0e0 AS cost)"]
+    for i in range(1, steps + 1):
+        j = i - 1
+        parts.append(f"g{i} AS (SELECT candidate, od, sum(weight * (exp(0.05e0 * saving) - 1)) AS more FROM saved JOIN w{j} USING (od, path) WHERE candidate NOT IN (SELECT candidate FROM built{j}) GROUP BY 1, 2)")
+        parts.append(f"v{i} AS (SELECT candidate, sum({_ADDED.format(after='expected - ln(mass + more) / 0.05e0')} - added) AS marginal FROM g{i} JOIN st{j} USING (od) GROUP BY 1)")
+        parts.append(f"b{i} AS MATERIALIZED (SELECT {i} AS step, candidate, cost, marginal FROM v{i} JOIN projects USING (candidate) WHERE cost <= (SELECT sum(cost) / 3 FROM projects) - (SELECT sum(cost) FROM built{j}) AND marginal > 1e-12 ORDER BY marginal / cost DESC, marginal DESC, cost, candidate DESC LIMIT 1)")
+        parts.append(f"built{i} AS MATERIALIZED (SELECT * FROM built{j} UNION ALL SELECT candidate, cost FROM b{i}), w{i} AS MATERIALIZED (SELECT od, path, p, weight * exp(0.05e0 * coalesce(saving, 0e0)) AS weight FROM w{j} LEFT JOIN (SELECT od, path, saving FROM saved JOIN b{i} USING (candidate)) USING (od, path))")
+        parts.append(f"st{i} AS MATERIALIZED (SELECT p.*, mass, {_ADDED.format(after='expected - ln(mass) / 0.05e0')} AS added FROM pair p JOIN (SELECT od, 1 + sum(weight - p) AS mass FROM w{i} GROUP BY 1) USING (od))")
+    rows = " UNION ALL ".join(f"SELECT * FROM b{i}" for i in range(1, steps + 1))
+    return f", {', '.join(parts)} SELECT CAST(step AS INTEGER) AS step, candidate, round(cost, 2) AS cost, round(marginal, 4) AS marginal, round(sum(marginal) OVER (ORDER BY step), 4) AS total FROM ({rows})"
+
+
+@query(with_("path_edges paths ods project_edges projects", _build_sql(12)))
 def greedy_build_order(spark: SparkSession, d: str) -> DataFrame:
     """Cumulative build order within a third of all costs, every step valued again on what is built."""
     edges = X.path_edges(spark, d)
