@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from streetworth.llm import quality
 from streetworth.llm._common import save, table
+from streetworth.llm.chat import digests
+from streetworth.llm.importance import resample
 from streetworth.llm.language import fold, identify, train
 from streetworth.llm.license_scan import scan_licenses
 from streetworth.llm.mixing import mix
@@ -99,6 +101,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation and conversation -7, formatted and read back (see format_chats, read_back). A row is a message event at the place of its turn, so repeated rows are turns each."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = rows.unionByName(own)
+    return digests(rows.select("conv_id", F.col("turn").alias("message"), F.col("turn").alias("seq"), F.lit("message").alias("kind"), "role", "text"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words, drawn to follow the benchmark's words (see resample)."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_language_id": op2_language_id,
@@ -110,6 +126,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_chat_format": op11_chat_format,
+    "op13_importance": op13_importance,
 }
 
 def _fill_sql(level: str, parents: str, budget: str, source: str, weight: str) -> str:
@@ -153,4 +171,19 @@ w AS (SELECT doc_id, s + i AS pos, md5(substr(part, 2 * i + 1, 800)) AS k FROM c
 b AS (SELECT *, CASE WHEN pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 400 THEN 1 ELSE 0 END AS new FROM hit), g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM b), spans AS (SELECT doc_id, min(pos) AS a, max(pos) + 400 AS z FROM g GROUP BY doc_id, run),
 o AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans), cut AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, max(z) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM o JOIN h USING (doc_id) GROUP BY 1)
 SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(CASE WHEN removed IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM h LEFT JOIN cut USING (doc_id)""",
+    "op11_chat_format": r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(turn, role)),
+m AS (SELECT *, len(text) + (len(text) - len(replace(text, '\', ''))) + (len(text) - len(replace(text, '<turn>', ''))) // 6 + (len(text) - len(replace(text, '</turn>', ''))) // 7 AS body FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+sha256(coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (role = 'assistant'), '')) AS loss_sha256, CAST(sum(length(role) + body + 15) AS BIGINT) AS formatted_chars FROM m GROUP BY 1""",
+    "op13_importance": r"""WITH RECURSIVE step AS (SELECT i, 0 AS k, i::BIGINT AS c FROM range(256) r(i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM step WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+e AS (SELECT r, unnest(w) AS f FROM d), b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM benchmark),
+h AS (SELECT f, xor(list_reduce(list_transform(range(1, octet_length(encode(f)) + 1), lambda i: ('0x' || hex(encode(f))[2 * i - 1:2 * i])::BIGINT), lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket FROM (SELECT f FROM e UNION SELECT f FROM b), crc),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN h USING (f) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM b JOIN h USING (f) GROUP BY 1), n AS (SELECT (SELECT count(*) FROM e) AS s_all, (SELECT count(*) FROM b) AS t_all),
+g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (s_all + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (t_all + 10000)))) AS BIGINT) AS gain FROM s FULL JOIN t USING (bucket), n),
+w AS (SELECT r, sum(gain) AS weight FROM e JOIN h USING (f) JOIN g USING (bucket) GROUP BY 1),
+o AS (SELECT r, doc_id, len(w) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight, CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT + 0.5e0) / 4294967296e0))) AS BIGINT) AS score FROM d LEFT JOIN w USING (r)),
+k AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM o WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM o LEFT JOIN k USING (r)""",
 }
