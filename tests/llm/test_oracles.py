@@ -12,7 +12,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     got, want = QUERIES[name](spark, DIR).toPandas(), con.sql(SQL[name]).df()
     plain = lambda df: df[sorted(df.columns)].sort_values(sorted(df.columns)).reset_index(drop=True)
