@@ -38,7 +38,7 @@ def _rests(arcs: DataFrame, ods: DataFrame) -> DataFrame:
     return _save(least("length").join(least("time"), ["destination", "node"]))
 
 
-def _search(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float, stress: int, detour: float, most_time: float, turns: DataFrame | None, most_labels: int, score: Column, beats: Callable) -> tuple[DataFrame, DataFrame]:
+def _search(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float, stress: int, detour: float, most_time: float, turns: DataFrame | None, most_labels: int | None, score: Column, beats: Callable) -> tuple[DataFrame, DataFrame]:
     """Labels at the destinations (od, label), and (od, labels, stop). `score` is what a label costs, from columns cost, length, capital and those of ods; `beats(a, b)` says whether label a makes b needless."""
     kind = arcs.schema["arc"].dataType.simpleString()
     shortest = legal_lengths(arcs, ods.select("od", "origin", "destination"), turns)
@@ -93,8 +93,10 @@ def _search(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float,
             known = _save(kept.select(F.coalesce(known["od"], grown["od"]).alias("od"), F.coalesce(known["node"], grown["node"]).alias("node"), F.coalesce(known["at"], grown["at"]).alias("at"), F.concat(old, new).alias("labels")))
         made = met.groupBy("od").agg(F.sum(F.size("new")).alias("made"))
         counts = _save(made if counts is None else counts.unionByName(made).groupBy("od").agg(F.sum("made").alias("made")))
-        over = counts.where(F.col("made") >= most_labels).select("od")
-        front = met.where("node <> destination").join(over, "od", "left_anti").select(*own, "destination", "most_length", "node", F.col("at").alias("arc"), F.explode("new").alias("label"))
+        front = met.where("node <> destination")
+        if most_labels is not None:
+            front = front.join(counts.where(F.col("made") >= most_labels).select("od"), "od", "left_anti")
+        front = front.select(*own, "destination", "most_length", "node", F.col("at").alias("arc"), F.explode("new").alias("label"))
         front = _save(front)
         if front.isEmpty():
             break
@@ -103,7 +105,8 @@ def _search(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float,
     found = ends.join(goals, ["od", "node"]).select("od", F.explode("labels").alias("label"))
     made = counts if counts is not None else ods.select("od", F.lit(0).cast("long").alias("made")).where("false")
     status = ods.select("od").join(shortest.select("od", "shortest"), "od", "left").join(made, "od", "left")
-    stop = F.when(F.col("shortest").isNull(), "disconnected").when(F.coalesce("made", F.lit(0)) >= most_labels, "label_limit").otherwise("exhausted")
+    capped = F.lit(False) if most_labels is None else F.coalesce("made", F.lit(0)) >= most_labels
+    stop = F.when(F.col("shortest").isNull(), "disconnected").when(capped, "label_limit").otherwise("exhausted")
     return found, status.select("od", F.coalesce("made", F.lit(0)).alias("labels"), stop.alias("stop"), "shortest")
 
 
@@ -115,19 +118,24 @@ def _joined(met: DataFrame, known: DataFrame) -> DataFrame:
     return both.withColumn("labels", F.coalesce("labels", none)).drop("_od", "_node", "_at")
 
 
-def label_search(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float, stress: int = 2, detour: float = 1.5, most_time: float = 1800.0, turns: DataFrame | None = None, most_labels: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """All efficient ways of each od: (od, projects, length, time, cost, capital, route), none as good in projects (by inclusion), length, time and cost as another; and (od, labels, stop, shortest).
+def label_search(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float, stress: int = 2, detour: float = 1.5, most_time: float = 1800.0, turns: DataFrame | None = None, most_labels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All efficient ways of each od: (od, projects, length, time, cost, capital, route, stop), none as good in projects (by inclusion), length, time and cost as another; and (od, labels, stop, shortest).
 
     A way costs at most `budget` of capital(project, capital), each project once; it is at most `detour` times as long as the shortest legal way and takes at most most_time. stop: exhausted,
-    disconnected, or label_limit, where an od made most_labels labels and what is found so far is given. Of equal ways the smallest route stays.
+    disconnected, or label_limit, where an od made most_labels labels and what is found so far is given; it stands beside each way too. Without most_labels every search is exhausted and exact.
+    Of equal ways the smallest route stays.
     """
     beats = lambda a, b: (F.size(F.array_except(a["projects"], b["projects"])) == 0) & (a["length"] <= b["length"] + EPS) & (a["time"] <= b["time"] + EPS) & (a["cost"] <= b["cost"] + EPS)
     found, status = _search(arcs, ods.select("od", "origin", "destination"), capital, budget, stress, detour, most_time, turns, most_labels, F.col("cost"), beats)
-    return found.select("od", "label.projects", "label.length", "label.time", "label.cost", "label.capital", "label.route"), status
+    ways = found.select("od", "label.projects", "label.length", "label.time", "label.cost", "label.capital", "label.route")
+    return ways.join(status.select("od", "stop"), "od"), status
 
 
-def priced_routes(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float, prices: list[tuple[str, float, float]], funded: list[str] | None = None, stress: int = 2, detour: float = 1.5, most_time: float = 1800.0, turns: DataFrame | None = None, most_labels: int = 200_000) -> DataFrame:
-    """(price, od, projects, length, time, cost, capital, score, route): for each (price, for a unit of length, for a unit of capital not funded) a way of low score inside the limits.
+def priced_routes(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: float, prices: list[tuple[str, float, float]], funded: list[str] | None = None, stress: int = 2, detour: float = 1.5, most_time: float = 1800.0, turns: DataFrame | None = None, most_labels: int | None = None) -> DataFrame:
+    """(price, od, projects, length, time, cost, capital, score, route, stop): for each (price, for a unit of length, for a unit of capital not funded) a way of low score inside the limits.
+
+    There is a row for every price and od, without a way where `stop` says why: disconnected, no_way (none inside the limits), label_limit (none or not all was found when the od had made most_labels labels;
+    there is no such limit by default), heuristic (capital is priced, or the budget can bind, so that a label that went could have been better later; see priced_exactly), else exact.
 
     Labels are held against each other by score, length and time only, not by projects, so far fewer stay than in label_search. A label whose projects would have been shared further on may go: as
     with a search label by label, the score is the least of those kept, not of all ways.
@@ -136,10 +144,27 @@ def priced_routes(arcs: DataFrame, ods: DataFrame, capital: DataFrame, budget: f
     own = ods.select("od", "origin", "destination", each.alias("p")).select(F.concat_ws("|", "p.price", F.col("od").cast("string")).alias("od"), F.col("od").alias("journey"), "origin", "destination", "p.*")
     free = F.array(*map(F.lit, funded or [])).cast("array<string>")
     costs = capital.agg(F.map_from_entries(F.collect_list(F.struct("project", "capital"))).alias("m")).first()
+    binds = sum((costs.m or {}).values()) > budget + EPS if costs else False
     costs = F.create_map(*[F.lit(x) for kv in (costs.m or {}).items() for x in kv]) if costs and costs.m else F.create_map()  # as long as the list of projects
     charged = F.aggregate(F.array_except("projects", free), F.lit(0.0), lambda s, p: s + costs[p]) if costs is not None else F.lit(0.0)
     score = F.col("cost") + F.col("per_length") * F.col("length") + F.col("per_capital") * charged
     beats = lambda a, b: (a["score"] <= b["score"] + EPS) & (a["length"] <= b["length"] + EPS) & (a["time"] <= b["time"] + EPS)
-    found, _ = _search(arcs, own, capital, budget, stress, detour, most_time, turns, most_labels, score, beats)
-    best = found.groupBy("od").agg(F.min("label").alias("b")).join(own.select("od", "journey", "price"), "od")
-    return best.select("price", F.col("journey").alias("od"), "b.projects", "b.length", "b.time", "b.cost", "b.capital", "b.score", "b.route")
+    found, status = _search(arcs, own, capital, budget, stress, detour, most_time, turns, most_labels, score, beats)
+    best = found.groupBy("od").agg(F.min("label").alias("b"))
+    rows = own.select("od", "journey", "price", "per_capital").join(status.select("od", F.col("stop").alias("_stop")), "od").join(best, "od", "left")
+    stop = F.when(F.col("_stop") != "exhausted", F.col("_stop")).when(F.col("b").isNull(), "no_way").when((F.col("per_capital") != 0) | F.lit(binds), "heuristic").otherwise("exact")
+    return rows.select("price", F.col("journey").alias("od"), "b.projects", "b.length", "b.time", "b.cost", "b.capital", "b.score", "b.route", stop.alias("stop"))
+
+
+def priced_exactly(ways: DataFrame, capital: DataFrame, prices: list[tuple[str, float, float]], funded: list[str] | None = None) -> DataFrame:
+    """(price, od, projects, length, time, cost, capital, score, route): the way of least score at each price among the efficient ways of label_search, of equal ones the smallest.
+
+    A score doesn't fall with projects, length, time or cost, so the least of all ways inside the limits is among the efficient ones: this is what priced_routes approximates. An od without a way has no row.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("price"), F.lit(float(a)).alias("per_length"), F.lit(float(b)).alias("per_capital")) for n, a, b in prices)))
+    charged = ways.select("od", "projects", F.explode("projects").alias("project")).distinct().where(~F.col("project").isin(funded or [])).join(capital.select("project", F.col("capital").alias("own")), "project")
+    charged = charged.groupBy("od", "projects").agg(F.sum("own").alias("charged"))
+    priced = ways.join(charged, ["od", "projects"], "left").fillna(0.0, ["charged"]).withColumn("p", each)
+    score = F.col("cost") + F.col("p.per_length") * F.col("length") + F.col("p.per_capital") * F.col("charged")
+    best = priced.groupBy("p.price", "od").agg(F.min(F.struct(score.alias("score"), "length", "time", "cost", "capital", "projects", "route")).alias("b"))
+    return best.select("price", "od", "b.projects", "b.length", "b.time", "b.cost", "b.capital", "b.score", "b.route")

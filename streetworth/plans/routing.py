@@ -98,21 +98,21 @@ def _search_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, D
     return arcs, trips(spark, d).select("od", "origin", "destination"), turns
 
 
-@query(f"""WITH RECURSIVE {_WAYS} SELECT od, coalesce(array_to_string([CASE WHEN mask & (1 << i) > 0 THEN 'p' || i END FOR i IN range(6)], ','), '') AS projects, length, time, cost, CAST(capital AS DOUBLE) AS capital FROM ways a
+@query(f"""WITH RECURSIVE {_WAYS} SELECT od, coalesce(array_to_string([CASE WHEN mask & (1 << i) > 0 THEN 'p' || i END FOR i IN range(6)], ','), '') AS projects, length, time, cost, CAST(capital AS DOUBLE) AS capital, 'exhausted' AS stop FROM ways a
 WHERE NOT EXISTS (SELECT 1 FROM ways b WHERE b.od = a.od AND b.mask & a.mask = b.mask AND b.length <= a.length AND b.time <= a.time AND b.cost <= a.cost AND (b.mask <> a.mask OR b.length < a.length OR b.time < a.time OR b.cost < a.cost))""")
 def label_search(spark: SparkSession, d: str) -> DataFrame:
     """Efficient ways of every journey over projects, length, time and cost."""
     arcs, ods, turns = _search_inputs(spark, d)
     found, _ = W.label_search(arcs, ods, capital(spark), BUDGET, detour=1.25, turns=turns)
-    return _named(found.select("od", "projects", *(F.round(c, 6).alias(c) for c in ("length", "time", "cost")), "capital"))
+    return _named(found.select("od", "projects", *(F.round(c, 6).alias(c) for c in ("length", "time", "cost")), "capital", "stop"))
 
 
-@query(f"""WITH RECURSIVE {_WAYS.replace("<= 5", "<= 100")}, p AS (SELECT price, od, cost + l * length AS score FROM ways CROSS JOIN (VALUES ('free', 0e0), ('short', 2e0)) v(price, l)) SELECT price, od, round(min(score), 6) AS score FROM p GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {_WAYS.replace("<= 5", "<= 100")}, p AS (SELECT price, od, cost + l * length AS score FROM ways CROSS JOIN (VALUES ('free', 0e0), ('short', 2e0)) v(price, l)) SELECT price, od, round(min(score), 6) AS score, 'exact' AS stop FROM p GROUP BY 1, 2""")
 def priced_route(spark: SparkSession, d: str) -> DataFrame:
     """The least score of every journey at two prices of length. The budget binds nobody and capital is free, so that no label that goes could have won."""
     arcs, ods, turns = _search_inputs(spark, d)
     found = W.priced_routes(arcs, ods, capital(spark), 100.0, [("free", 0.0, 0.0), ("short", 2.0, 0.0)], detour=1.25, turns=turns)
-    return found.select("price", "od", F.round("score", 6).alias("score"))
+    return found.select("price", "od", F.round("score", 6).alias("score"), "stop")
 
 
 @query()
@@ -122,6 +122,14 @@ def priced_programme_routes(spark: SparkSession, d: str) -> DataFrame:
     return _named(W.priced_routes(arcs, ods, capital(spark), BUDGET, [("thrifty", 0.0, 20.0), ("both", 2.0, 20.0)], funded=["p1"], detour=1.25, turns=turns))
 
 
+@query(f"""WITH RECURSIVE {_WAYS}, p AS (SELECT price, od, cost + l * length + 20e0 * list_sum([CASE WHEN mask & (1 << i) > 0 AND i <> 1 THEN 1e0 + i ELSE 0e0 END FOR i IN range(6)]) AS score FROM ways CROSS JOIN (VALUES ('thrifty', 0e0), ('both', 2e0)) v(price, l)) SELECT price, od, round(min(score), 6) AS score FROM p GROUP BY 1, 2""")
+def priced_programme_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The least score of every journey at prices of length and capital, with one project already funded, out of all efficient ways."""
+    arcs, ods, turns = _search_inputs(spark, d)
+    ways = G._save(W.label_search(arcs, ods, capital(spark), BUDGET, detour=1.25, turns=turns)[0])
+    return W.priced_exactly(ways, capital(spark), [("thrifty", 0.0, 20.0), ("both", 2.0, 20.0)], funded=["p1"]).select("price", "od", F.round("score", 6).alias("score"))
+
+
 @query()
 def search_stops(spark: SparkSession, d: str) -> DataFrame:
     """Why each journey's search ended under a small limit of labels."""

@@ -84,6 +84,8 @@ def test_label_search(spark, seed):
     assert stops[4].stop == "disconnected" and set(stops) == {1, 2, 3, 4}
     prices = [("low", 0.0, 0.0), ("high", 0.5, 5.0)]
     priced = {(r.price, r.od): r for r in S.priced_routes(*frames, 6.0, prices, funded=["q"], stress=2, detour=1.6, most_time=18.0, turns=spark.createDataFrame(turns, TURN)).collect()}
+    exactly = {(r.price, r.od): r for r in S.priced_exactly(spark.createDataFrame(found), frames[2], prices, funded=["q"]).collect()}
+    assert all(r.stop == "exhausted" for r in found) and priced["low", 4].stop == "disconnected"
     for od, a, z in ods[:3]:
         short = shortest(rows, turns, a, z)
         own = [r for r in found if r.od == od]
@@ -99,10 +101,13 @@ def test_label_search(spark, seed):
             assert (frozenset(r.projects), r.length, r.time, r.cost, tuple(r.route)) in ways and r.capital == sum(capital[p] for p in r.projects)
         for name, p, q in prices:
             got = priced.get((name, od))
-            assert (got is None) == (not ways)
+            assert (got.score is None) == (not ways) and got.stop == ("heuristic" if ways else "no_way")
+            exact = exactly.get((name, od))
+            assert (exact is None) == (not ways)
             if ways:
                 score = lambda w, p=p, q=q: w[3] + p * w[1] + q * sum(capital[x] for x in w[0] if x != "q")
                 assert (frozenset(got.projects), got.length, got.time, got.cost, tuple(got.route)) in ways and got.score == pytest.approx(score((frozenset(got.projects), got.length, got.time, got.cost)))
+                assert exact.score == pytest.approx(min(map(score, ways)))
                 assert got.score >= min(map(score, ways)) - 1e-9 and (q or got.score == pytest.approx(min(map(score, ways))))
 
 
