@@ -9,9 +9,10 @@ from streetworth.operators import graph as G
 from streetworth.operators import investment as I
 from streetworth.operators import routing as R
 from streetworth.operators import search as W
+from streetworth.operators.bounded import bounded_investment
 from streetworth.plans import fixtures as X
 from streetworth.plans.fixtures import table
-from streetworth.registry import query
+from streetworth.registry import SQL, query
 
 #: Arcs from each nation to the next, the fifth and the seventh after it; some chords are closed until a project opens them.
 _RING = """ring AS (SELECT n_nationkey * 3 + j AS arc, CAST(n_nationkey AS BIGINT) AS u, CAST((n_nationkey + (CASE j WHEN 0 THEN 1 WHEN 1 THEN 5 ELSE 7 END)) % 25 AS BIGINT) AS v,
@@ -213,6 +214,12 @@ def investment_exact(spark: SparkSession, d: str) -> DataFrame:
     return I.exact_investment(*_columns(spark, d), 20.0)
 
 
+@query(SQL["investment_exact"])
+def investment_bounded(spark: SparkSession, d: str) -> DataFrame:
+    """The same choice by branch and bound."""
+    return bounded_investment(*_columns(spark, d), 20.0)
+
+
 @query(f"""WITH {_COLUMNS}, sets AS (SELECT m AS mask, CAST(list_sum([CASE WHEN m & (1 << i) > 0 THEN 2e0 + i * 5 % 7 ELSE 0e0 END for i in range(9)]) AS DOUBLE) AS cost, coalesce(array_to_string([CASE WHEN m & (1 << i) > 0 THEN 'p' || i END for i in range(9)], ','), '') AS projects FROM range(512) t(m)),
 served AS (SELECT DISTINCT mask, od FROM sets JOIN needs ON mask & need = need WHERE cost <= 20), sums AS (SELECT mask, sum(weight) AS weight, count(*) AS ods FROM served JOIN weights USING (od) GROUP BY 1)
 SELECT CAST(budget AS DOUBLE) AS budget, projects, cost, coalesce(weight, 0e0) AS weight, coalesce(ods, 0) AS ods FROM sets LEFT JOIN sums USING (mask) JOIN (VALUES (8), (14), (20)) v(budget) ON cost <= budget QUALIFY row_number() OVER (PARTITION BY budget ORDER BY coalesce(weight, 0e0) DESC, cost, projects) = 1""")
