@@ -91,14 +91,30 @@ def _packed(values: np.ndarray) -> bytes:
     return ((groups & np.uint64(127)).astype(np.uint8) | more.astype(np.uint8) << 7)[used].tobytes()
 
 
+def _one(value: int) -> bytes:
+    """A single varint; arrays cost more than they spare on short lists."""
+    value, out = value % (1 << 64), bytearray()
+    while value > 127:
+        out.append(value & 127 | 128)
+        value >>= 7
+    out.append(value)
+    return bytes(out)
+
+
+def _short(values: list[int]) -> bytes:
+    return b"".join(map(_one, values)) if len(values) < 64 else _packed(np.array(values))
+
+
 def _zigzag(values) -> bytes:
+    if len(values) < 64:
+        steps = (b - a for a, b in zip([0, *values], values, strict=False))
+        return b"".join(_one((s << 1) ^ (s >> 63)) for s in steps)
     d = np.diff(np.asarray(values, np.int64), prepend=0)
     return _packed((d << 1) ^ (d >> 63))
 
 
 def _field(number: int, value: int | bytes) -> bytes:
-    one = lambda n: _packed(np.array([n]))
-    return one(number << 3) + one(value) if isinstance(value, int) else one(number << 3 | 2) + one(len(value)) + value
+    return _one(number << 3) + _one(value) if isinstance(value, int) else _one(number << 3 | 2) + _one(len(value)) + value
 
 
 def _opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -171,34 +187,33 @@ def _of_dense(dense: bytes, strings: pa.Array, place) -> pa.RecordBatch:
     return _batch("node", strings, ids, (counts, words[0::2], words[1::2]), *place(lat, lon))
 
 
+def _column(buffers: list[bytes], deltas: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers for each element, all numbers) of one packed field of many elements, unpacked at once; differences start again at each element."""
+    joined = b"".join(buffers)
+    ends = np.flatnonzero(np.frombuffer(joined, np.uint8) < 128)
+    to = np.searchsorted(ends, np.cumsum([len(b) for b in buffers]))
+    counts = np.diff(to, prepend=0)
+    if not deltas:
+        return counts, _unpacked(joined).astype(np.int64)
+    total = np.concatenate(([0], _deltas(joined)))
+    return counts, total[1:] - np.repeat(total[to - counts], counts)
+
+
 def _of_group(group: list[tuple[int, bytes]], number: int, strings: pa.Array, place) -> pa.RecordBatch:
     """Plain nodes (1), ways (3) or relations (4) of a group."""
-    ids, lat, lon, counts, keys, values, items, roles, kinds, offsets = [], [], [], [], [], [], [], [], [], [0]
-    for message in (v for n, v in group if n == number):
-        parts = dict(_fields(message))
-        zig = lambda v: (v >> 1) ^ -(v & 1)
-        ids.append(zig(parts[1]) if number == 1 else _signed(parts[1]))
-        k, v = _unpacked(parts.get(2, b"")), _unpacked(parts.get(3, b""))
-        counts.append(len(k))
-        keys.append(k)
-        values.append(v)
-        if number == 1:
-            lat.append(zig(parts[8]))
-            lon.append(zig(parts[9]))
-        else:
-            items.append(_deltas(parts.get(8 if number == 3 else 9, b"")))
-            offsets.append(offsets[-1] + len(items[-1]))
-            if number == 4:
-                roles.append(_unpacked(parts.get(8, b"")))
-                kinds.append(_unpacked(parts.get(10, b"")))
-    flat = lambda arrays: np.concatenate([np.zeros(0, np.int64), *arrays]).astype(np.int64)
-    tags = (np.array(counts), flat(keys), flat(values))
+    messages = [dict(_fields(v)) for n, v in group if n == number]
+    zig = lambda v: (v >> 1) ^ -(v & 1)
+    ids = np.array([zig(m[1]) if number == 1 else _signed(m[1]) for m in messages], np.int64)
+    packed = lambda k, deltas=False: _column([m.get(k, b"") for m in messages], deltas)
+    counts, keys = packed(2)
+    tags = (counts, keys, packed(3)[1])
     if number == 1:
-        return _batch("node", strings, ids, tags, *place(np.array(lat), np.array(lon)))
-    refs = pa.array(flat(items))
+        return _batch("node", strings, ids, tags, *place(*(np.array([zig(m[k]) for m in messages]) for k in (8, 9))))
+    counts, items = packed(8 if number == 3 else 9, True)
+    offsets, refs = np.concatenate(([0], np.cumsum(counts))), pa.array(items)
     if number == 3:
         return _batch("way", strings, ids, tags, refs=(offsets, refs))
-    member = pa.StructArray.from_arrays([pa.array(KINDS).take(pa.array(flat(kinds))), refs, strings.take(pa.array(flat(roles)))], fields=list(_MEMBER))
+    member = pa.StructArray.from_arrays([pa.array(KINDS).take(pa.array(packed(10)[1])), refs, strings.take(pa.array(packed(8)[1]))], fields=list(_MEMBER))
     return _batch("relation", strings, ids, tags, members=(offsets, member))
 
 
@@ -245,12 +260,12 @@ def encoded(rows: list[dict]) -> bytes:
         out = []
         for r in some:
             tags = r["tags"] or []
-            body = _field(1, r["id"]) + b"".join(_field(k + 2, _packed(np.array([word(pair[k]) for pair in tags]))) for k in (0, 1) if tags)
+            body = _field(1, r["id"]) + b"".join(_field(k + 2, _short([word(pair[k]) for pair in tags])) for k in (0, 1) if tags)
             if kind == "way":
                 body += _field(8, _zigzag(r["refs"] or []))
             else:
                 m = r["members"] or []
-                body += _field(8, _packed(np.array([word(x["role"]) for x in m], int))) + _field(9, _zigzag([x["ref"] for x in m])) + _field(10, _packed(np.array([KINDS.index(x["kind"]) for x in m], int)))
+                body += _field(8, _short([word(x["role"]) for x in m])) + _field(9, _zigzag([x["ref"] for x in m])) + _field(10, _short([KINDS.index(x["kind"]) for x in m]))
             out.append(_field(3 if kind == "way" else 4, body))
         if out:
             groups.append(b"".join(out))
