@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetworth.operators import areas as A
+from streetworth.operators.graph import shared_dir
 from streetworth.plans.fixtures import table
 from streetworth.registry import query
+from streetworth.sources import geometries as G
 
 _SHAPES = """tiles AS (SELECT n_nationkey AS zone, n_nationkey % 5 * 2000e0 AS zx, n_nationkey // 5 * 2000e0 AS zy FROM nation), zr AS (SELECT zone, unnest([[1, zx, zy, zx + 2000, zy + 2000], [-1, zx + 500, zy + 500, zx + 800, zy + 800], [-1, zx + 1700, zy + 1700, zx + 2000, zy + 2000]]) AS r FROM tiles),
 lots AS (SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS holed, s_suppkey * 7919 % 23 * 500e0 AS x, s_suppkey * 104729 % 22 * 500e0 AS y, 160e0 + s_suppkey % 4 * 80 AS w FROM supplier),
@@ -48,3 +52,12 @@ def zone_assignment(spark: SparkSession, d: str) -> DataFrame:
     """The tile of each lot: by an interior point, on a shared border by area; ambiguous and missing ones are reported."""
     found = A.assigned_zones(_lots(spark, d), _tiles(spark, d), 1000.0)
     return found.select("id", "zone", F.round("share", 8).alias("share"), "status")
+
+
+@query(f"WITH {_SHAPES} SELECT id, round(4 * w * w - CASE WHEN holed THEN w * w / 4 ELSE w * w END, 6) AS area, x - w AS xmin, y + w AS ymax FROM lots WHERE x - w <= 6000 AND x + w >= 2000 AND y - w <= 7000 AND y + w >= 3000")
+def lots_of_a_box(spark: SparkSession, d: str) -> DataFrame:
+    """Lots through files with geometries, of which only those row groups are read whose boxes meet a window."""
+    path = f"{shared_dir(spark)}/streetworth/lots-{uuid.uuid4().hex}"
+    G.write_geometries(_lots(spark, d), path, "rings", 1000.0, 200)
+    rows = G.read_geometries(spark, path, "Polygon", (2000, 3000, 6000, 7000))
+    return A.measured(rows).join(rows.select("id", "bbox.xmin", "bbox.ymax"), "id").select("id", F.round("area", 6).alias("area"), "xmin", "ymax")

@@ -9,15 +9,15 @@ The driver reads the blocks' headers only; tasks fetch and decode runs of whole
 from __future__ import annotations
 
 import lzma
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
+
+from streetworth.sources.folders import FolderWriter, Written, listed, opened
 
 SCHEMA = "kind string, id bigint, lat double, lon double, refs array<bigint>, members array<struct<kind:string,ref:bigint,role:string>>, tags map<string,string>"
 # Fixed values of the file format.
@@ -117,11 +117,6 @@ def _field(number: int, value: int | bytes) -> bytes:
     return _one(number << 3) + _one(value) if isinstance(value, int) else _one(number << 3 | 2) + _one(len(value)) + value
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
-    """Any store that Arrow reads; paths without a scheme are local."""
-    return fs.FileSystem.from_uri(path) if ":/" in path else (fs.LocalFileSystem(), path)
-
-
 def _blocks(file: pa.NativeFile) -> Iterator[tuple[str, int, int]]:
     """(type, place, bytes) of each block of a file, from the headers alone."""
     size, at = file.size(), 0
@@ -298,11 +293,9 @@ class _ExtractReader(DataSourceReader):
         self.path, self.kinds, self.run = path, kinds, run
 
     def partitions(self) -> list[InputPartition]:
-        store, path = _opened(self.path)
-        info = store.get_file_info(path)
-        found = [i.path for i in store.get_file_info(fs.FileSelector(path)) if i.path.endswith(".pbf")] if info.type == fs.FileType.Directory else [path]
+        store, _ = opened(self.path)
         runs = []
-        for name in sorted(found):
+        for name in listed(self.path, ".pbf"):
             blocks, held = [], 0
             with store.open_input_file(name) as file:
                 for kind, at, size in _blocks(file):
@@ -323,36 +316,24 @@ class _ExtractReader(DataSourceReader):
     def read(self, partition: _Run | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a source without partitions
             return
-        store, _ = _opened(self.path)
+        store, _ = opened(self.path)
         with store.open_input_file(partition.path) as file:
             for at, size in partition.blocks:
                 yield from decoded(_content(file.read_at(size, at)), self.kinds)
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    name: str | None
-
-
-class _ExtractWriter(DataSourceArrowWriter):
-    """A file for each task, under a name of its own that readers pass over until the job is committed; so repeated tasks leave no rows twice."""
-
-    def __init__(self, path: str, overwrite: bool):
-        self.path = path
-        store, folder = _opened(path)
-        if overwrite or store.get_file_info(folder).type != fs.FileType.NotFound:
-            raise ValueError(f"{path} exists or should be overwritten; extracts are written to new folders")
+class _ExtractWriter(FolderWriter):
+    """A file for each task that has rows."""
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        store, folder = _opened(self.path)
-        store.create_dir(folder)
-        name, waiting, out = None, [], None
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        names, waiting, out = [], [], None
         try:
             for batch in iterator:
                 waiting += batch.to_pylist()
                 if waiting and out is None:
-                    name = f"part-{uuid.uuid4().hex}.pbf"
-                    out = store.open_output_stream(f"{folder}/{name}.open")
+                    name, store, path = self.file(".pbf")
+                    names.append(name)
+                    out = store.open_output_stream(path)
                     out.write(file_header())
                 while len(waiting) >= MOST_ELEMENTS:
                     out.write(framed("OSMData", encoded(waiting[:MOST_ELEMENTS])))
@@ -362,20 +343,7 @@ class _ExtractWriter(DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
-        return _Written(name)
-
-    def commit(self, messages: list[_Written]) -> None:
-        store, folder = _opened(self.path)
-        store.create_dir(folder)
-        for m in messages:
-            if m is not None and m.name:
-                store.move(f"{folder}/{m.name}.open", f"{folder}/{m.name}")
-
-    def abort(self, messages: list[_Written]) -> None:
-        store, folder = _opened(self.path)
-        for m in messages:
-            if m is not None and m.name:
-                store.delete_file(f"{folder}/{m.name}.open")
+        return Written(names)
 
 
 class MapExtract(DataSource):

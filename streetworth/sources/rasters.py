@@ -9,17 +9,15 @@ The driver reads the directories of the files only; tasks fetch and unpack runs
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition
 
-from streetworth.sources.extracts import _opened
+from streetworth.sources.folders import FolderWriter, Written, listed, opened
 
 SCHEMA = "file string, tile int, x double, y double, dx double, dy double, width int, height int, values array<double>"
 _ARROW = pa.schema([("file", pa.string()), ("tile", pa.int32()), *((c, pa.float64()) for c in ("x", "y", "dx", "dy")), ("width", pa.int32()), ("height", pa.int32()), ("values", pa.list_(pa.float64()))])
@@ -164,12 +162,9 @@ class _TileReader(DataSourceReader):
         self.path, self.band, self.run = path, band, run
 
     def partitions(self) -> list[InputPartition]:
-        store, path = _opened(self.path)
-        info = store.get_file_info(path)
-        folder = info.type == fs.FileType.Directory
-        found = sorted(i.path for i in store.get_file_info(fs.FileSelector(path)) if i.path.endswith((".tif", ".tiff"))) if folder else [path]
+        store, _ = opened(self.path)
         runs = []
-        for name in found:
+        for name in listed(self.path, ".tif", ".tiff"):
             with store.open_input_file(name) as file:
                 told = layout(file.read_at)
             if not 1 <= self.band <= told.samples:
@@ -181,7 +176,7 @@ class _TileReader(DataSourceReader):
     def read(self, partition: _Run | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # a source without partitions
             return
-        store, _ = _opened(self.path)
+        store, _ = opened(self.path)
         with store.open_input_file(partition.path) as file:
             told = layout(file.read_at)
             for tile in range(partition.first, partition.last):
@@ -194,42 +189,22 @@ class _TileReader(DataSourceReader):
                 yield pa.record_batch([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(row, _ARROW, strict=True)], schema=_ARROW)
 
 
-@dataclass
-class _Written(WriterCommitMessage):
-    names: list[str]
-
-
-class _ImageWriter(DataSourceArrowWriter):
-    """A file for each row, under names that readers pass over until the job is committed."""
+class _ImageWriter(FolderWriter):
+    """A file for each row."""
 
     def __init__(self, path: str, overwrite: bool, tile: int):
-        self.path, self.tile = path, tile
-        store, folder = _opened(path)
-        if overwrite or store.get_file_info(folder).type != fs.FileType.NotFound:
-            raise ValueError(f"{path} exists or should be overwritten; rasters are written to new folders")
-
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        store, folder = _opened(self.path)
-        store.create_dir(folder)
+        super().__init__(path, overwrite)
+        self.tile = tile
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         names = []
-        for batch in iterator:
-            for r in batch.to_pylist():
-                values = np.array(r["values"], float).reshape(r["height"], r["width"])
-                names.append(f"part-{uuid.uuid4().hex}.tif")
-                with store.open_output_stream(f"{folder}/{names[-1]}.open") as out:
-                    out.write(image(values, r["x"], r["y"], r["dx"], r["dy"], self.tile))
-        return _Written(names)
-
-    def commit(self, messages: list[_Written]) -> None:
-        store, folder = _opened(self.path)
-        store.create_dir(folder)
-        for name in (n for m in messages if m is not None for n in m.names):
-            store.move(f"{folder}/{name}.open", f"{folder}/{name}")
-
-    def abort(self, messages: list[_Written]) -> None:
-        store, folder = _opened(self.path)
-        for name in (n for m in messages if m is not None for n in m.names):
-            store.delete_file(f"{folder}/{name}.open")
+        for r in (r for batch in iterator for r in batch.to_pylist()):
+            name, store, path = self.file(".tif")
+            values = np.array(r["values"], float).reshape(r["height"], r["width"])
+            with store.open_output_stream(path) as out:
+                out.write(image(values, r["x"], r["y"], r["dx"], r["dy"], self.tile))
+            names.append(name)
+        return Written(names)
 
 
 class RasterTiles(DataSource):

@@ -108,7 +108,7 @@ def test_random_elements_come_back_and_folders_are_read_whole(spark, tmp_path):
     assert load(spark, empty).count() == 0
     with pytest.raises(Exception, match="without a place"):
         spark.createDataFrame([("node", 1, None, 1.0, None, None, None)], E.SCHEMA).write.format("map_extract").mode("append").save(str(tmp_path / "bad"))
-    assert not [p for p in (tmp_path / "bad").glob("*.pbf")]
+    assert not [p for p in (tmp_path / "bad").glob("part-*.pbf")]
 
 
 def test_areas_of_touching_rings_loose_ends_and_gaps(spark):
