@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streetworth.operators import areas as A
+from streetworth.operators import simplify
 from streetworth.operators.graph import shared_dir
 from streetworth.plans.fixtures import table
 from streetworth.registry import query
@@ -61,3 +62,30 @@ def lots_of_a_box(spark: SparkSession, d: str) -> DataFrame:
     G.write_geometries(_lots(spark, d), path, "rings", 1000.0, 200)
     rows = G.read_geometries(spark, path, "Polygon", (2000, 3000, 6000, 7000))
     return A.measured(rows).join(rows.select("id", "bbox.xmin", "bbox.ymax"), "id").select("id", F.round("area", 6).alias("area"), "xmin", "ymax")
+
+
+def _quilt(spark: SparkSession, d: str) -> DataFrame:
+    """A field of 1,000 m for each supplier, ten to a row; sides have three points between the corners, by which they bend to one side by 0, 30 or 60 m in the middle."""
+    k = F.col("s_suppkey")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), (k % 10).alias("i"), F.floor(k / 10).alias("j"))
+
+    def side(i: Column, j: Column, across: bool) -> list[tuple[Column, Column]]:
+        mark = i * 7 + j * 13 + (0 if across else 5)
+        b = (mark % 5 - 2) * 30.0
+        a = F.when(mark % 2 == 0, b / 2 + F.signum(b)).otherwise(0.0)
+        steps = ((0, F.lit(0.0)), (250, a), (500, b), (750, a))
+        return [(i * 1000.0 + s, j * 1000.0 + h) if across else (i * 1000.0 + h, j * 1000.0 + s) for s, h in steps]
+
+    i, j = F.col("i"), F.col("j")
+    end = lambda i, j: (i * 1000.0, j * 1000.0)
+    border = side(i, j, True) + side(i + 1, j, False) + [end(i + 1, j + 1), *side(i, j + 1, True)[:0:-1]] + [end(i, j + 1), *side(i, j, False)[:0:-1]]
+    return rows.select("id", F.array(A.ring(*border)).alias("rings"))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS id, s_suppkey % 10 AS i, s_suppkey // 10 AS j FROM supplier), s AS (SELECT id, unnest([[i * 7 + j * 13, -1], [i * 7 + (j + 1) * 13, 1], [i * 7 + j * 13 + 5, -1], [(i + 1) * 7 + j * 13 + 5, 1]]) AS m FROM t),
+b AS (SELECT id, m[2] AS sign, (m[1] % 5 - 2) * 30e0 AS b, m[1] % 2 = 1 AND abs(m[1] % 5 - 2) = 2 AS sharp FROM s)
+SELECT id, round(1000000 + sum(sign * b * CASE WHEN sharp THEN 250 ELSE 500 END), 6) AS area, CAST(4 + sum(CASE WHEN b = 0 THEN 0 WHEN sharp THEN 3 ELSE 1 END) AS BIGINT) AS points FROM b GROUP BY 1""")
+def simplified_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Fields whose common borders lose points that are off by less than 20 m, as areas and numbers of points."""
+    done = simplify.simplified(_quilt(spark, d), 20.0)
+    return A.measured(done).select("id", F.round("area", 6).alias("area"), F.size(F.flatten("rings")).cast("long").alias("points"))
