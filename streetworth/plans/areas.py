@@ -13,6 +13,7 @@ from streetworth.operators.graph import shared_dir
 from streetworth.plans.fixtures import table
 from streetworth.registry import query
 from streetworth.sources import geometries as G
+from streetworth.sources import writers
 
 _SHAPES = """tiles AS (SELECT n_nationkey AS zone, n_nationkey % 5 * 2000e0 AS zx, n_nationkey // 5 * 2000e0 AS zy FROM nation), zr AS (SELECT zone, unnest([[1, zx, zy, zx + 2000, zy + 2000], [-1, zx + 500, zy + 500, zx + 800, zy + 800], [-1, zx + 1700, zy + 1700, zx + 2000, zy + 2000]]) AS r FROM tiles),
 lots AS (SELECT s_suppkey AS id, s_suppkey % 2 = 0 AS holed, s_suppkey * 7919 % 23 * 500e0 AS x, s_suppkey * 104729 % 22 * 500e0 AS y, 160e0 + s_suppkey % 4 * 80 AS w FROM supplier),
@@ -89,3 +90,14 @@ def simplified_fields(spark: SparkSession, d: str) -> DataFrame:
     """Fields whose common borders lose points that are off by less than 20 m, as areas and numbers of points."""
     done = simplify.simplified(_quilt(spark, d), 20.0)
     return A.measured(done).select("id", F.round("area", 6).alias("area"), F.size(F.flatten("rings")).cast("long").alias("points"))
+
+
+@query(f"WITH {_SHAPES} SELECT id, holed, round(4 * w * w - CASE WHEN holed THEN w * w / 4 ELSE w * w END, 6) AS area, CAST(CASE WHEN holed THEN 10 ELSE 7 END AS BIGINT) AS points FROM lots")
+def feature_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Lots through lines of GeoJSON polygons with rounded coordinates."""
+    path = f"{shared_dir(spark)}/streetworth/polygons-{uuid.uuid4().hex}"
+    rows = _lots(spark, d).select(F.col("id").alias("lot"), (F.col("id") % 2 == 0).alias("holed"), G.coordinates(F.col("rings"), "Polygon", 6).alias("coordinates"))
+    writers.write_features(rows, path, kind="Polygon")
+    back = G.read_shapes(spark, path, "lot: bigint, holed: boolean", "Polygon", by_line=True)
+    sizes = A.measured(back.select(F.col("lot").alias("id"), F.col("geometry").alias("rings")))
+    return sizes.join(back.select(F.col("lot").alias("id"), "holed"), "id").select("id", "holed", F.round("area", 6).alias("area"), F.size(F.flatten("rings")).cast("long").alias("points"))

@@ -199,3 +199,37 @@ def read_geometries(spark: SparkSession, path: str, name: str, within: tuple[flo
         x1, y1, x2, y2 = within
         rows = rows.where((side["xmin"] <= x2) & (side["xmax"] >= x1) & (side["ymin"] <= y2) & (side["ymax"] >= y1))
     return from_binary(rows, column, name)
+
+
+def coordinates(geometry: Column, name: str, digits: int | None = None) -> Column:
+    """A geometry as nested arrays of numbers, rounded to `digits`; rings are closed. For writers.write_features with kind=name."""
+    at = lambda c: F.round(c, digits) if digits is not None else c
+    flat = lambda p: F.array(at(p["x"]), at(p["y"]))
+    line = lambda ps: F.transform(ps, flat)
+    ring = lambda ps: line(F.when((F.size(ps) > 0) & (F.get(ps, F.lit(0)) != F.get(ps, F.size(ps) - 1)), F.concat(ps, F.slice(ps, 1, 1))).otherwise(ps))
+    polygon = lambda rings: F.transform(rings, ring)
+    return {"Point": flat, "LineString": line, "Polygon": polygon, "MultiPolygon": lambda ps: F.transform(ps, polygon)}[name](geometry)
+
+
+def read_shapes(spark: SparkSession, path: str, properties: str, name: str, by_line: bool = False) -> DataFrame:
+    """Features of one kind of geometry: their properties and `geometry`. Collections are read whole by one task each; with by_line a feature stands on each line, and files are parted.
+
+    Null geometries stay null, a feature of another kind raises. Numbers after the second of a point are dropped.
+    """
+    depth = NAMES.index(name)
+    nested = "array<" * (depth + 1) + "double" + ">" * (depth + 1)
+    feature = f"struct<type: string, properties: struct<{properties}>, geometry: struct<type: string, coordinates: {nested}>>"
+    reader = spark.read.option("multiLine", not by_line)
+    if by_line:
+        rows = reader.schema(f"properties struct<{properties}>, geometry struct<type: string, coordinates: {nested}>").json(path).select(F.struct("properties", "geometry").alias("f"))
+    else:
+        whole = reader.schema(f"type string, features array<{feature}>").json(path)
+        checked = F.when(F.col("type") == "FeatureCollection", F.col("features")).otherwise(F.raise_error(F.lit("not a FeatureCollection")).cast(f"array<{feature}>"))
+        rows = whole.select(F.explode(checked).alias("f"))
+
+    def shaped(c: Column, left: int) -> Column:
+        return F.struct(F.get(c, F.lit(0)).alias("x"), F.get(c, F.lit(1)).alias("y")) if left == 0 else F.transform(c, lambda v: shaped(v, left - 1))
+
+    kind, given = F.col("f.geometry.type"), F.col("f.geometry.coordinates")
+    other = F.raise_error(F.concat(F.lit("a feature is a "), kind)).cast(geometry_type(name))
+    return rows.select("f.properties.*", F.when(kind.isNull(), None).when(kind != name, other).otherwise(F.when(given.isNotNull(), shaped(given, depth))).alias("geometry"))

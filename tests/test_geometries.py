@@ -62,3 +62,24 @@ def test_what_has_no_geometries_is_refused(spark, tmp_path):
     for name, words in (("plain", "no geometries"), ("none", "no files")):
         with pytest.raises(ValueError, match=words):
             G.read_geometries(spark, str(tmp_path / name), "Point")
+
+
+@pytest.mark.parametrize("name", G.NAMES)
+def test_features_of_every_kind(spark, tmp_path, name):
+    ring = [[0.1234567, 0], [4, 0, 7], [4, 4], [0.1234567, 0]]
+    given = {"Point": ring[0], "LineString": ring, "Polygon": [ring], "MultiPolygon": [[ring], []]}[name]
+    feature = lambda n, g: {"type": "Feature", "properties": {"n": n}, "geometry": g and {"type": g[0], "coordinates": g[1]}}
+    features = [feature(1, (name, given)), feature(2, None)]
+    (tmp_path / "all.json").write_text(json.dumps({"type": "FeatureCollection", "features": features}))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, features)))
+    bad = feature(3, ("GeometryKind", given))
+    (tmp_path / "bad.json").write_text(json.dumps({"type": "FeatureCollection", "features": [bad]}))
+    one, lines = (G.read_shapes(spark, str(tmp_path / f), "n: bigint", name, by_line) for f, by_line in (("all.json", False), ("lines.json", True)))
+    assert sorted(one.collect(), key=lambda r: r.n) == sorted(lines.collect(), key=lambda r: r.n) and one.where("n = 2").first().geometry is None
+    flat = lambda g: [g.x, g.y] if hasattr(g, "x") else [flat(v) for v in g]
+    cut = lambda g: g[:2] if g and not isinstance(g[0], list) else [cut(v) for v in g]
+    assert flat(one.where("n = 1").first().geometry) == cut(given)
+    back = one.where("n = 1").select(G.coordinates(one["geometry"], name, 6).alias("c")).first().c
+    assert back == json.loads(json.dumps(cut(given)).replace("0.1234567", "0.123457"))
+    with pytest.raises(Exception, match="a feature is a GeometryKind"):
+        G.read_shapes(spark, str(tmp_path / "bad.json"), "n: bigint", name).collect()
