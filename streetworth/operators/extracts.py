@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streetworth.operators.graph import _save
+
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
 
 
@@ -63,8 +65,10 @@ def assembled_areas(elements: DataFrame, kinds: tuple[str, ...] = ("multipolygon
     """(id, tags, rings, status) of each relation whose tag `type` is one of kinds, its rings put together from its ways, each way once however often it is named.
 
     A place is inside where it lies in an odd number of rings, so the roles aren't needed. status: ok; open (ends that meet no other, rings null); incomplete (a way or a node is not in the extract, rings null);
-    empty (no ways). One relation's ways make one row; the format bounds their number, and no group of relations is gathered. elements must name each element once.
+    empty (no ways). One relation's ways make one row; the format bounds their number, and no group of relations is gathered. elements must name each element once; they are saved first, so that
+    a file's blocks are unpacked once and not for each join.
     """
+    elements = _save(elements)
     relations = elements.where((F.col("kind") == "relation") & F.col("tags")["type"].isin(*kinds))
     named = relations.select("id", F.explode(F.array_distinct(F.transform(F.filter("members", lambda m: m["kind"] == "way"), lambda m: m["ref"]))).alias("way"))
     wanted = named.select("way").distinct()
