@@ -50,10 +50,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data are replaced by their kinds and n_chars follows; every row stays, null and empty texts as they are."""
     out = redact(find_pii(bundled(docs, "text")))
-    if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("others.n_chars"))
-        out = out.withColumn("others", F.col("others").withField("n_chars", n_chars))
-    return out.select(*restored(out, docs.columns, "text"))
+    # Not by a new struct of the others: a filter on any of them would then hold all that makes the text, and the optimizer would run out of memory.
+    n_chars = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("others.n_chars")) if "n_chars" in docs.columns else None
+    return out.select(*(n_chars.alias(name) if name == "n_chars" else column for name, column in zip(docs.columns, restored(out, docs.columns, "text"), strict=True)))
 
 
 def target_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
