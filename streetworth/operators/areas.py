@@ -67,7 +67,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def interior(e: np.ndarray) -> tuple[float, float] | None:
-    """A point inside: the middle of the widest section, of equal ones the left, halfway up the slab between vertices that holds the middle height (or ends there). None for no area."""
+    """A point inside: the middle of the widest section, of equal ones (within a billionth, as places are rounded) the left, halfway up the slab between vertices that holds the middle height (or ends there). None for no area."""
     ys = np.unique(np.concatenate((e[:, 1], _crossings(e)))) if len(e) else np.zeros(0)
     if len(ys) < 2:
         return None
@@ -75,7 +75,7 @@ def interior(e: np.ndarray) -> tuple[float, float] | None:
     y = (ys[k - 1] + ys[k]) / 2
     x = _sections(e, y)
     widths = x[1::2] - x[0::2]
-    best = int(np.argmax(widths)) if len(widths) else -1
+    best = int(np.argmax(widths >= widths.max() * (1 - 1e-9))) if len(widths) else -1
     return ((x[2 * best] + x[2 * best + 1]) / 2, y) if best >= 0 and widths[best] > 0 else None
 
 

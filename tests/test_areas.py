@@ -73,3 +73,11 @@ def test_assignment(spark):
     tilted = [(8, rings([(9, 5), (11, 5), (11, 7), (8, 9), (9, 7)]))]
     (one,) = A.assigned_zones(spark.createDataFrame(tilted, SCHEMA), spark.createDataFrame(zones, SCHEMA), 4.0).collect()
     assert one["zone"] == 1
+
+
+def test_equal_sections_go_to_the_left_also_where_places_are_rounded():
+    for x in range(0, 11500, 500):
+        for w in (160, 240, 320, 400):
+            box = lambda v: [((x + i * v) / 1000, (500 + j * v) / 1000) for i, j in ((-1, -1), (1, -1), (1, 1), (-1, 1))]  # noqa: B023, E731
+            e = A.edges([[{"x": i, "y": j} for i, j in box(v)] for v in (w, w / 4)])
+            assert abs(A.interior(e)[0] * 1000 - (x - w * 5 / 8)) < 1e-6
