@@ -27,7 +27,7 @@ ledger AS (SELECT r.od, stratum, least(size, 5) AS stratum_sample, rank <= 5 AS
 st AS (SELECT stratum, count(*) FILTER (selected) AS n, min(stratum_sample) AS a, max(stratum_sample) AS b FROM ledger GROUP BY 1)
 """ + _rules("*", """SELECT count(*) AS rows, count(*) FILTER (coalesce(len(paths), 0) <> coalesce(len(ps), 0)) AS list_lengths_differ, count(*) FILTER (selected AND NOT weight > 0) AS selected_without_weight, count(*) FILTER (selected AND status NOT IN ('assigned', 'unassigned')) AS selected_with_unknown_status,
 count(*) FILTER (NOT selected AND status <> 'not_selected') AS unselected_with_other_status, count(*) FILTER (NOT selected AND (coalesce(len(paths), 0) > 0 OR weight <> 0)) AS unselected_with_paths_or_weight, count(*) FILTER (status = 'assigned' AND coalesce(len(paths), 0) = 0) AS assigned_without_paths,
-count(*) FILTER (status = 'assigned' AND reason IS NOT NULL) AS assigned_with_reason, count(*) FILTER (status = 'assigned' AND coalesce(len(ps), 0) > 0 AND abs(list_sum(ps) - 1) > 1e-9) AS probabilities_not_one, count(*) FILTER (status = 'unassigned' AND reason IS NULL) AS failed_without_reason,
+count(*) FILTER (status = 'assigned' AND reason IS NOT NULL) AS assigned_with_reason, count(*) FILTER (status = 'assigned' AND coalesce(len(ps), 0) > 0 AND abs(list_sum(ps) - 1) > 1e-12) AS probabilities_not_one, count(*) FILTER (status = 'unassigned' AND reason IS NULL) AS failed_without_reason,
 count(*) FILTER (status = 'unassigned' AND coalesce(len(paths), 0) > 0) AS failed_with_paths, count(*) - count(DISTINCT od) AS repeated_od, (SELECT count(*) FILTER (n <> a OR a <> b) FROM st) AS stratum_sample_differs FROM ledger""")))
 def od_ledger_audit(spark: SparkSession, d: str) -> DataFrame:
     """A sampled ledger in which urgent failures have no reason and slow orders lack a probability."""
