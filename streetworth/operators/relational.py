@@ -65,9 +65,10 @@ def carried(rows: DataFrame, order: list[Column], value: Column, name: str, how=
 def pareto(rows: DataFrame, cost: str, benefit: str, by: list[str] | None = None) -> DataFrame:
     """rows with `efficient`: the best benefit of its cost, and better than every cheaper row's. Rows of equal cost and benefit are all kept.
 
-    First one row for each cost, then a running maximum over the costs, so that the ordered window sees distinct costs only.
+    First one row for each cost, then a running maximum over the costs, so that the ordered window sees distinct costs only. The rows are saved first: costs and benefits that are sums would
+    come out of a second run with other last places, and then neither meet nor equal themselves.
     """
-    by = by or []
+    by, rows = by or [], _save(rows)
     best = rows.groupBy(*by, cost).agg(F.max(benefit).alias("_best"))
     if by:
         best = best.withColumn("_before", F.max("_best").over(Window.partitionBy(*by).orderBy(cost).rowsBetween(Window.unboundedPreceding, -1)))
