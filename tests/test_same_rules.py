@@ -48,3 +48,14 @@ def test_efficient_rows_are_read_once(spark):
     assert sorted(r.id for r in found) == list(range(20))
     for r in found:
         assert r.efficient == (not any(o.cost <= r.cost and o.benefit >= r.benefit and (o.cost, o.benefit) != (r.cost, r.benefit) for o in found))
+
+
+def test_ways_of_more_than_600_arcs(spark, tables):
+    """A street of 701 nodes; the hub is its first one."""
+    keys = [6 + 100 * i for i in range(701)]
+    n = keys[-1]
+    at = pow(7919, -1, n)
+    part = {"p_partkey": keys, "p_size": [1] * 701, "p_retailprice": [900.0] * 701, "p_brand": ["b"] * 701}
+    customer = {"c_custkey": [(k - 1) * at % n for k in (keys[1], keys[599], keys[700])], "c_nationkey": [0, 0, 0]}
+    ours, sql = both(spark, tables(part=part, customer=customer), "town_costs")
+    assert ours == sql and sorted(r[1] for r in ours) == pytest.approx([105 * 1.8 * h for h in (1, 599, 700)])
