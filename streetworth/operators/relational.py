@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,14 +125,43 @@ def path_size(path_edges: DataFrame) -> DataFrame:
     return sums.withColumn("path_size", F.greatest(F.lit(1e-12), F.least(F.col("_s") / F.col("cost"), F.lit(1.0)))).drop("_s")
 
 
-def within_radius(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs of left(a, ax, ay) and right(b, bx, by) at most `radius` apart: an equi-join on grid cells of that size, the right side in its nine cells, then the exact distance."""
+def within_radius(left: DataFrame, right: DataFrame, radius: float, by: list[str] | None = None) -> DataFrame:
+    """Pairs of left(a, ax, ay) and right(b, bx, by) at most `radius` apart: an equi-join on grid cells of that size, the right side in its nine cells, then the exact distance. Pairs also agree in
+    the columns of `by`."""
     cell = lambda c: F.floor(F.col(c) / radius)
     near = F.explode(F.sequence(cell("bx") - 1, cell("bx") + 1)).alias("_cx")
     right = right.select("*", near).select("*", F.explode(F.sequence(cell("by") - 1, cell("by") + 1)).alias("_cy"))
     left = left.withColumns({"_cx": cell("ax"), "_cy": cell("ay")})
     distance = F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2)
-    return left.join(right, ["_cx", "_cy"]).withColumn("distance", distance).where(F.col("distance") <= radius).drop("_cx", "_cy")
+    return left.join(right, ["_cx", "_cy", *(by or [])]).withColumn("distance", distance).where(F.col("distance") <= radius).drop("_cx", "_cy")
+
+
+def nearest_pairs(points: DataFrame, pairs: Callable[[DataFrame, float], DataFrame], keys: list[str], k: int, first: float, radius: float) -> DataFrame:
+    """Pairs at most `radius` apart among which are the k nearest of each row of `points`, with all that are as near as the last of these, or nearer: `pairs(points, r)` gives all pairs with `distance` <= r.
+
+    The reach doubles from `first`, round by round, and a row that has k pairs within it goes no further, so what a row meets depends on k, not on how many lie within the radius. Distances that
+    are equal after rounding to six places count as equal.
+    """
+    found, r = None, first
+    while r < radius:
+        met = _save(pairs(points, r))
+        done = met.where(F.col("distance") <= r - 2e-6).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= k).select(*keys)
+        near = met.join(done, keys, "left_semi")
+        found = near if found is None else found.unionByName(near)
+        points = _save(points.join(done, keys, "left_anti"))
+        if points.isEmpty():
+            return found
+        r *= 2
+    rest = pairs(points, radius)
+    return rest if found is None else found.unionByName(rest)
+
+
+def nearest(left: DataFrame, right: DataFrame, k: int, radius: float, by: list[str] | None = None) -> DataFrame:
+    """Those pairs of within_radius(left, right, radius, by) that may be among the k nearest of a (in its `by`), see nearest_pairs. The first reach is where about 4 k of the right side are to be expected."""
+    by = by or []
+    s = right.agg(F.count("*").alias("n"), F.max("bx").alias("x1"), F.min("bx").alias("x0"), F.max("by").alias("y1"), F.min("by").alias("y0"), F.count_distinct(*by).alias("kinds") if by else F.lit(1).alias("kinds")).first()
+    first = math.sqrt(4 * k * max(s.kinds, 1) * (s.x1 - s.x0) * (s.y1 - s.y0) / (math.pi * s.n)) if s.n else radius
+    return nearest_pairs(left, lambda p, r: within_radius(p, right, r, by), ["a", *by], k, max(first, radius / 1024) if 2 * first < radius else radius, radius)
 
 
 def regression_metrics(rows: DataFrame, observed: str, predicted: str) -> DataFrame:
