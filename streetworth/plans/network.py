@@ -11,7 +11,7 @@ from streetworth.operators import network as N
 from streetworth.operators import relational as R
 from streetworth.plans import fixtures as X
 from streetworth.plans.fixtures import table, with_
-from streetworth.queries import _POINTS, _STRESS, _levels, _near
+from streetworth.queries import _POINTS, _STRESS, _levels, _near, _nearest
 from streetworth.registry import query
 
 _SEGMENTS = """stops AS (SELECT DISTINCT l_orderkey AS way, l_partkey * 10 + l_linenumber AS place, l_partkey % 500 AS node FROM lineitem),
@@ -103,7 +103,7 @@ best AS (SELECT a, min_by(b, r) AS b, min(distance) AS distance, count(*) = 1 OR
 won AS (SELECT b, min_by(a, (distance, a)) AS winner FROM best WHERE clear GROUP BY 1)
 SELECT a, best.b, round(distance, 6) AS distance, CASE WHEN NOT clear THEN 'ambiguous' WHEN winner = a THEN 'matched' ELSE 'taken' END AS status FROM best LEFT JOIN won USING (b)""")
 def unambiguous_nearest(spark: SparkSession, d: str) -> DataFrame:
-    return N.nearest_two(_near(spark, d, 3000.0), 200.0).select("a", "b", F.round("distance", 6).alias("distance"), "status")
+    return N.nearest_two(_nearest(spark, d, 2, 3000.0), 200.0).select("a", "b", F.round("distance", 6).alias("distance"), "status")
 
 
 @query(f"""WITH {_POINTS}, near AS (SELECT a, b AS node, b % 3 AS component, distance FROM p WHERE distance <= 4000),
