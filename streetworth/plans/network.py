@@ -113,7 +113,9 @@ met AS (SELECT od, x.component, x.node AS a_node, y.node AS z_node, x.distance +
 best AS (SELECT *, row_number() OVER (PARTITION BY od ORDER BY total, most, component, a_node, z_node) AS r FROM met)
 SELECT od, component, a_node, z_node, round(total, 6) AS distance FROM best WHERE r = 1""")
 def component_snaps(spark: SparkSession, d: str) -> DataFrame:
-    near = _near(spark, d, 4000.0).select("a", F.col("b").alias("node"), (F.col("b") % 3).alias("component"), "distance")
+    part = X.points(spark, d, "supplier", "s_suppkey").toDF("b", "bx", "by").withColumn("component", F.col("b") % 3)
+    ends = X.points(spark, d, "customer", "c_custkey").toDF("a", "ax", "ay").crossJoin(F.broadcast(part.select("component").distinct()))  # three rows
+    near = G._save(R.nearest(ends, part, 2, 4000.0, ["component"]).select("a", F.col("b").alias("node"), "component", "distance"))
     last = table(spark, d, "customer").agg(F.max("c_custkey").alias("last"))
     orders = table(spark, d, "orders").crossJoin(F.broadcast(last))  # one row
     ods = orders.select(F.col("o_orderkey").alias("od"), F.col("o_custkey").alias("a"), (1 + (F.col("o_custkey") * 31 + F.col("o_orderkey")) % F.col("last")).alias("z"))
