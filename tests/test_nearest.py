@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from streetworth.operators import network as N
 from streetworth.operators import relational as R
 
 
@@ -20,3 +21,15 @@ def test_nearest_points_without_all_pairs(spark):
     assert least(all_) == least(few) and few.count() < all_.count() / 10
     far = a.withColumns({"ax": F.col("ax") + 5000})  # none within the radius
     assert R.nearest(far, b, 1, 400.0).count() == 0 and R.nearest(a, b.where("false"), 1, 400.0).count() == 0
+
+
+def test_nearest_segments_without_all_pairs(spark):
+    rng = random.Random(2)
+    a = _points(spark, rng, 300, "a").withColumn("own", F.col("a") % 5)
+    b = _points(spark, rng, 2000, "b")
+    lines = b.select("b", F.col("bx").alias("x1"), F.col("by").alias("y1"), (F.col("bx") + F.col("b") % 7 * 9).alias("x2"), (F.col("by") - F.col("b") % 4 * 9).alias("y2"))
+    fits = (F.col("b") + F.col("own")) % 6 == 0
+    all_ = N.near_segments(a, lines, 300.0).join(a.select("a", "own"), "a").where(fits)
+    few = N.nearest_segments(a, lines, 300.0, fits)
+    least = lambda t: sorted(t.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).collect())
+    assert least(all_) == least(few) and few.count() < all_.count() / 5
