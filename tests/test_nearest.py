@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from streetworth.operators import investment as I
 from streetworth.operators import network as N
 from streetworth.operators import relational as R
 
@@ -33,3 +34,13 @@ def test_nearest_segments_without_all_pairs(spark):
     few = N.nearest_segments(a, lines, 300.0, fits)
     least = lambda t: sorted(t.groupBy("a").agg(F.min(F.struct("distance", "b")).alias("m")).collect())
     assert least(all_) == least(few) and few.count() < all_.count() / 5
+
+
+def test_points_apart_in_rounds(spark):
+    rng = random.Random(3)
+    p = _points(spark, rng, 1500, "p").toDF("id", "x", "y")
+    kept = []
+    for r in sorted(p.collect()):
+        if all((r.x - k.x) ** 2 + (r.y - k.y) ** 2 >= 6400 for k in kept):
+            kept.append(r)
+    assert sorted(I.first_apart(p, 80.0).collect()) == kept
