@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from streetworth.functions import columns as C
 from streetworth.operators import relational as R
 from streetworth.operators import selection as S
+from streetworth.operators.graph import _save
 from streetworth.plans import fixtures as X
 from streetworth.plans.fixtures import table, with_
 from streetworth.queries import _ACTIVITY, _DRAWS, _PROBABILITY, _SAVINGS, _activity
@@ -111,8 +112,8 @@ left_ AS (SELECT k.cell AS gone, candidate, total - coalesce(gain, 0e0) AS rest
 ranked AS (SELECT *, row_number() OVER (PARTITION BY gone ORDER BY round(rest, 6) DESC, candidate) AS rank FROM left_)
 SELECT candidate, min(rank) AS best_rank, max(rank) AS worst_rank, round(min(rest), 4) AS least_total FROM ranked GROUP BY 1"""))
 def source_cell_influence(spark: SparkSession, d: str) -> DataFrame:
-    """Ranks of the candidates as each source cell is left out in turn."""
-    gains = _gains(spark, d)
+    """Ranks of the candidates as each source cell is left out in turn. The gains are saved, as all that follows reads them, and they take the whole ledger."""
+    gains = _save(_gains(spark, d))
     totals = gains.groupBy("candidate").agg(F.sum("gain").alias("total"))
     cases = gains.select("cell").distinct().crossJoin(totals).join(gains, ["candidate", "cell"], "left")  # a row for each case and candidate is the result
     rest = cases.withColumn("rest", F.col("total") - F.coalesce("gain", F.lit(0.0)))
